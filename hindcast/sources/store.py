@@ -216,4 +216,4 @@ def picks_document(flags: DataFrame, picks: DataFrame, strategies: Sequence[tupl
         F.struct(F.lit(name).alias("name"), F.lit(bet).alias("bet_type"), F.coalesce(F.col(f"h{i}"), empty).alias("horses"),
                  F.col(f"e{i}").alias("ev")) for i, (name, bet, *_r) in enumerate(strategies)])
     body = F.struct(F.struct("win", "win_ev", "place", "quinella", "wide", "trio").alias("betting"), strat.alias("strategies"))
-    return doc.select(RACE, F.to_json(body).alias("document"))
+    return doc.select(RACE, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
