@@ -86,40 +86,50 @@ def _(e):
     return H.last_rate(f, "trainer_id", "is_win", 30, "rate").select("race_id", "horse_number", "rate")
 
 
-def asof_sql(key: str, flag: str = "is_win") -> str:
-    w = f"OVER (PARTITION BY {key} ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)"
-    return f"CAST(count({flag}) {w} AS DOUBLE) AS prior_mounts, sum({flag}) {w} / CAST(count({flag}) {w} AS DOUBLE) AS prior_win_rate"
+def daily_sql(name: str, key: str, flag: str = "is_win", table: str = "e") -> str:
+    """Rows and total of a flag before each day of a key, from daily totals."""
+    part = f"PARTITION BY {key} " if key else ""
+    cols = f"{key}, " if key else ""
+    return f"""
+{name} AS (SELECT {cols}date, coalesce(sum(n) OVER w, 0) AS n, coalesce(sum(s) OVER w, 0) AS s
+  FROM (SELECT {cols}date, count({flag}) AS n, sum({flag}) AS s FROM {table} GROUP BY ALL)
+  WINDOW w AS ({part}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+PRIOR = "CAST(n AS DOUBLE) AS prior_mounts, s / nullif(CAST(n AS DOUBLE), 0) AS prior_win_rate"
 
 
 for _key, _name in (("jockey_id", "jockey"), ("trainer_id", "trainer"), ("owner", "owner")):
     def _rate(e, key=_key):
         f = e.select("race_id", "horse_number", "date", key, "is_win")
         return H.asof_rate(f, key).select("race_id", "horse_number", "prior_mounts", "prior_win_rate")
-    on_entries(f"asof_rate_{_name}", oracle(f"SELECT {KEYS}, {asof_sql(_key)} FROM e", rounds=["prior_win_rate"]))(_rate)
+    on_entries(f"asof_rate_{_name}", oracle(f"SELECT {KEYS}, {PRIOR} FROM e JOIN dp USING ({_key}, date)", daily_sql("dp", _key),
+                                            rounds=["prior_win_rate"]))(_rate)
 
 
-_SIRE = "PARTITION BY sire, course_type ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING"
+SIRE_DAYS = daily_sql("sp", "sire, course_type", "is_placed")
+SPEED_DAYS = daily_sql("sz", "sire, course_type", "race_time_zscore", "m")
 
 
 @on_entries("shrunk_rate", oracle(f"""
-SELECT {KEYS}, (coalesce(sum(is_placed) OVER w, 0) + 20 * (SELECT avg(is_placed) FROM e)) / (count(*) OVER w + 20) AS rate,
-       CAST(count(*) OVER w AS DOUBLE) AS mounts FROM e WINDOW w AS ({_SIRE})""", rounds=["rate"]))
+SELECT {KEYS}, (s + 20 * (SELECT avg(is_placed) FROM e)) / (n + 20) AS rate, CAST(n AS DOUBLE) AS mounts
+FROM e JOIN sp USING (sire, course_type, date)""", SIRE_DAYS, rounds=["rate"]))
 def _(e):
     f = e.select("race_id", "horse_number", "date", "sire", "course_type", "is_placed")
     return H.asof_shrunk_rate(f, ["sire", "course_type"], out="rate", out_n="mounts").select("race_id", "horse_number", "rate", "mounts")
 
 
 @on_entries("shrunk_rate_asof", oracle(f"""
-SELECT {KEYS}, (coalesce(sum(is_placed) OVER w, 0) + 20 * coalesce(avg(is_placed) OVER g, 0)) / (count(*) OVER w + 20) AS rate
-FROM e WINDOW w AS ({_SIRE}), g AS (ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""", rounds=["rate"]))
+SELECT {KEYS}, (sp.s + 20 * coalesce(g.s / nullif(CAST(g.n AS DOUBLE), 0), 0)) / (sp.n + 20) AS rate
+FROM e JOIN sp USING (sire, course_type, date) JOIN g ON g.date = e.date""", SIRE_DAYS, daily_sql("g", "", "is_placed"), rounds=["rate"]))
 def _(e):
     f = e.select("race_id", "horse_number", "date", "sire", "course_type", "is_placed")
     return H.asof_shrunk_rate(f, ["sire", "course_type"], prior="asof", out="rate").select("race_id", "horse_number", "rate")
 
 
 @on_entries("shrunk_mean", oracle(f"""
-SELECT {KEYS}, coalesce(sum(race_time_zscore) OVER w, 0) / (count(race_time_zscore) OVER w + 10) AS speed FROM m WINDOW w AS ({_SIRE})""",
-    MEASURED, rounds=["speed"]))
+SELECT {KEYS}, s / (n + 10) AS speed FROM m JOIN sz USING (sire, course_type, date)""",
+    MEASURED, SPEED_DAYS, rounds=["speed"]))
 def _(e):
     f = H.race_measures(e).select("race_id", "horse_number", "date", "sire", "course_type", "race_time_zscore")
     return H.asof_shrunk_mean(f, ["sire", "course_type"], out="speed").select("race_id", "horse_number", "speed")
@@ -164,7 +174,7 @@ def _(e):
 
 @on_entries("rate_tier", oracle(f"""
 SELECT {KEYS}, CASE WHEN prior_mounts >= 100 THEN CASE WHEN prior_win_rate <= 0.22 THEN '下位(勝率)' WHEN prior_win_rate >= 0.26 THEN '上位(勝率)'
-       ELSE '中位(勝率)' END END AS tier FROM (SELECT {KEYS}, {asof_sql('jockey_id')} FROM e)"""))
+       ELSE '中位(勝率)' END END AS tier FROM (SELECT {KEYS}, {PRIOR} FROM e JOIN dp USING (jockey_id, date))""", daily_sql("dp", "jockey_id")))
 def _(e):
     f = H.asof_rate(e.select("race_id", "horse_number", "date", "jockey_id", "is_win"), "jockey_id")
     return f.select("race_id", "horse_number", rate_tier("prior_win_rate", "prior_mounts", 100, 0.22, 0.26).alias("tier"))
@@ -180,14 +190,14 @@ SELECT {KEYS}, avg(finishing_position) OVER (h ROWS BETWEEN 3 PRECEDING AND 1 PR
   avg(first_corner_pos) OVER (PARTITION BY horse_id, course_type, distance {O} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS avg_corner_last3_cond,
   avg(is_win) OVER (PARTITION BY jockey_id, venue, course_type {O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS jockey_win_rate_venue_cond,
   avg(is_win) OVER (PARTITION BY trainer_id {O} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS trainer_win_rate_last30,
-  avg(is_win) OVER (PARTITION BY owner ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS owner_prior_win_rate,
-  (coalesce(sum(is_placed) OVER s, 0) + 20 * (SELECT avg(is_placed) FROM e)) / (count(*) OVER s + 20) AS sire_place_rate_cond,
-  coalesce(sum(race_time_zscore) OVER s, 0) / (count(race_time_zscore) OVER s + 10) AS sire_avg_speed_index_cond,
+  dp.s / nullif(CAST(dp.n AS DOUBLE), 0) AS owner_prior_win_rate,
+  (sp.s + 20 * (SELECT avg(is_placed) FROM e)) / (sp.n + 20) AS sire_place_rate_cond, sz.s / (sz.n + 10) AS sire_avg_speed_index_cond,
   avg(finishing_position) OVER (PARTITION BY bracket_number, {BAND_SQL} {O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bracket_distance_avg_finish
-FROM m WINDOW h AS (PARTITION BY horse_id {O}), s AS ({_SIRE})"""
+FROM m JOIN dp USING (owner, date) JOIN sp USING (sire, course_type, date) JOIN sz USING (sire, course_type, date)
+WINDOW h AS (PARTITION BY horse_id {O})"""
 
 
-@on_entries("training_features", oracle(_ALL_SQL, MEASURED, rounds=[c for c in _ALL_PICK if not c.startswith("best")]))
+@on_entries("training_features", oracle(_ALL_SQL, MEASURED, daily_sql("dp", "owner"), SIRE_DAYS, SPEED_DAYS, rounds=[c for c in _ALL_PICK if not c.startswith("best")]))
 def _(e):
     return H.training_features(e).select("race_id", "horse_number", *_ALL_PICK)
 

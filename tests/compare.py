@@ -47,8 +47,11 @@ def check(spark, con, sf_dir, fn, sql):
         return False, f"columns {got_cols} != {want_cols}"
     if got == want:
         return True, f"{len(got)} rows"
-    diff = [(a, b) for a, b in zip(got, want) if a != b]
-    return False, f"rows {len(got)} vs {len(want)}, {len(diff)} differ; {got_cols}; first {diff[:2]}"
+    from collections import Counter
+    a, b = Counter(got), Counter(want)
+    only, lack = list((a - b).elements()), list((b - a).elements())
+    return False, (f"rows {len(got)} vs {len(want)}; only in Spark {len(only)}, only in SQL {len(lack)}; {got_cols}; "
+                   f"{sorted(only)[:2]} / {sorted(lack)[:2]}")
 
 
 def main() -> int:
