@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +46,7 @@ def _fit(df: DataFrame, label: str, features: Sequence[str], weight: str | None,
         stages.append(Imputer(inputCols=nums, outputCols=[f"{c}__n" for c in nums], strategy="median"))
     parts = [f"{c}__i" for c in text] + [f"{c}__n" for c in nums]
     stages.append(VectorAssembler(inputCols=parts, outputCol="__x", handleInvalid="keep"))
-    tree = GBTClassifier(featuresCol="__x", labelCol="__label", predictionCol="__y", probabilityCol="__p",
-                         rawPredictionCol="__r", **settings)
+    tree = GBTClassifier(featuresCol="__x", labelCol="__label", predictionCol="__y", **settings)
     if weight:
         tree = tree.setWeightCol(weight)
     return Pipeline(stages=[*stages, tree]).fit(data)
@@ -63,7 +63,7 @@ def fit_win(df: DataFrame, features: Sequence[str], weight: str | None = None, p
 def raw_score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
     nums = [c[:-3] for s in model.stages if hasattr(s, "getOutputCols") for c in s.getOutputCols() if c.endswith("__n")]
     data = df.withColumns({c: F.col(c).cast("double") for c in nums})
-    scored = model.transform(data).withColumn(out, vector_to_array("__p")[1])
+    scored = model.transform(data).withColumn(out, vector_to_array("probability")[1])
     return scored.select(*df.columns, out)
 
 
@@ -76,9 +76,9 @@ class Calibrator:
         """Replace the raw score by the calibrated probability."""
         keep = df.columns
         if self.method == "isotonic":
-            return self.model.transform(df).withColumn(col, F.col("__cal")).select(*keep)
-        from pyspark.ml.feature import VectorAssembler as VA
-        vec = VA(inputCols=[col], outputCol="__s").transform(df)
+            scored = df.withColumn(self.model.getFeaturesCol(), F.col(col))
+            return self.model.transform(scored).withColumn(col, F.col("__cal")).select(*keep)
+        vec = VectorAssembler(inputCols=[col], outputCol="__s").transform(df)
         return self.model.transform(vec).withColumn(col, vector_to_array("__cp")[1]).select(*keep)
 
 
@@ -106,11 +106,18 @@ class Models:
 
 
 def train(df: DataFrame, features: Sequence[str], half_life: float | None = None, params: dict | None = None) -> Models:
+    """Both models on the same rows. Fitting reads them many times, so the needed columns are held (and recomputed
+    if an executor is lost) until both fits are done."""
     weight = None
+    rows = df.select(*features, "is_win", "is_placed", DATE)
     if half_life is not None:
-        df = df.withColumn("__w", decay_weight(F.col(DATE), df.agg(F.max(DATE)).scalar(), half_life))
+        rows = rows.withColumn("__w", decay_weight(F.col(DATE), df.agg(F.max(DATE)).scalar(), half_life))
         weight = "__w"
-    return Models(fit_win(df, features, weight, params), fit_place(df, features, weight, params))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Models(fit_win(rows, features, weight, params), fit_place(rows, features, weight, params))
+    finally:
+        rows.unpersist()
 
 
 def calibrate(models: Models, held_out: DataFrame, method: str = "isotonic") -> Models:
@@ -178,7 +185,6 @@ def importance_rank(model: PipelineModel, spark, name: str) -> DataFrame:
     gains = [float(x) for x in model.stages[-1].featureImportances.toArray()]
     rows = [(c[:-3], name, g) for c, g in zip(assembler.getInputCols(), gains)]
     df = spark.createDataFrame(rows, "feature string, model string, gain double")
-    from pyspark.sql import Window
     return df.withColumn("rank", F.rank().over(Window.partitionBy("model").orderBy(F.desc("gain"))))
 
 
