@@ -129,6 +129,7 @@ def calibrate(models: Models, held_out: DataFrame, method: str = "isotonic") ->
 
 def predict(models: Models, df: DataFrame) -> DataFrame:
     """Calibrated scores are normalised per race, raw ones pass a softmax; then ranked."""
+    df = df.drop("win_prob", "place_prob")
     scored = raw_score(models.place, raw_score(models.win, df, "win_prob"), "place_prob")
     if models.win_cal is not None:
         scored = models.place_cal.apply(models.win_cal.apply(scored, "win_prob"), "place_prob")
