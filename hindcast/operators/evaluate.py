@@ -26,19 +26,31 @@ def brier(y: str, p: str) -> Column:
     return (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
 
 
+def stat_exprs(win: str = "win_prob", place: str = "place_prob", tail: str = "") -> list[Column]:
+    """Aggregates of one race for one model: loss sums, runner count, and the best runner."""
+    return [
+        F.sum(nll("is_win", win)).alias(f"nll_win{tail}"), F.sum(nll("is_placed", place)).alias(f"nll_place{tail}"),
+        F.sum(brier("is_win", win)).alias(f"se_win{tail}"), F.sum(brier("is_placed", place)).alias(f"se_place{tail}"),
+        F.count(win).alias(f"n{tail}"),
+        F.max_by(F.struct("is_win", "odds"), F.struct(F.col(win), -F.col(ENTRY))).alias(f"best{tail}"),
+    ]
+
+
+def flat_stats(stats: DataFrame, tails: Sequence[str] = ("",)) -> DataFrame:
+    """Hit and return of the best runner as columns; a missing price returns 0."""
+    cols = [RACE]
+    for t in tails:
+        win = F.col(f"best{t}.is_win")
+        cols += [f"{c}{t}" for c in ("nll_win", "nll_place", "se_win", "se_place", "n")]
+        cols += [win.alias(f"hit{t}"), F.when(win == 1, F.coalesce(f"best{t}.odds", F.lit(0.0))).otherwise(0.0).alias(f"ret{t}")]
+    return stats.select(*cols)
+
+
 def race_stats(entries: DataFrame, preds: DataFrame) -> DataFrame:
-    """Per race: loss sums, runner count, and hit and return of the best runner (a missing price returns 0)."""
+    """Sufficient statistics of every race for one model."""
     m = entries.select(RACE, ENTRY, "is_win", "is_placed", "odds").join(
         preds.select(RACE, ENTRY, "win_prob", "place_prob"), [RACE, ENTRY])
-    best = F.max_by(F.struct("is_win", "odds"), F.struct(F.col("win_prob"), -F.col(ENTRY)))
-    return m.groupBy(RACE).agg(
-        F.sum(nll("is_win", "win_prob")).alias("nll_win"),
-        F.sum(nll("is_placed", "place_prob")).alias("nll_place"),
-        F.sum(brier("is_win", "win_prob")).alias("se_win"),
-        F.sum(brier("is_placed", "place_prob")).alias("se_place"),
-        F.count(F.lit(1)).alias("n"), best.alias("b"),
-    ).select(RACE, "nll_win", "nll_place", "se_win", "se_place", "n", F.col("b.is_win").alias("hit"),
-             F.when(F.col("b.is_win") == 1, F.coalesce("b.odds", F.lit(0.0))).otherwise(0.0).alias("ret"))
+    return flat_stats(m.groupBy(RACE).agg(*stat_exprs()))
 
 
 def metrics_of(stats: DataFrame) -> DataFrame:

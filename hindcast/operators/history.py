@@ -223,8 +223,8 @@ def feature_columns(extra: Sequence[str] = (), drop: Sequence[str] = ()) -> list
 def training_features(df: DataFrame, prior: str = "global") -> DataFrame:
     """Every feature above for cleaned entries.
 
-    The wide rows move three times: for the race measures, for the horse windows and for the join on the entry key.
-    Every other history runs on narrow projections. Give a stored (or checkpointed) frame when the cleaning is
+    The wide rows move four times: for the race measures, the horse windows, the pace of the race and one join on the
+    entry key. Every other history runs on narrow projections. Give a stored (or checkpointed) frame when the cleaning is
     costly, because each history reads its own few columns of it.
     """
     key = [RACE, ENTRY]
@@ -236,8 +236,9 @@ def training_features(df: DataFrame, prior: str = "global") -> DataFrame:
     hot = hot_keys(banded, {"horse": [HORSE], "venue": venue_key, "trainer": ["trainer_id"],
                             "bracket": ["bracket_number", "__band"]})
     keyed = Keyed.of(base, [HORSE], ORDER, hot["horse"]).look_back({**LAGS, **recent_exprs()}, 5)
-    wide = keyed.look_back(recent_exprs(cond=True), 5, within=COND).result()
+    wide = pace(keyed.look_back(recent_exprs(cond=True), 5, within=COND).result())
 
+    sire = ["sire", "course_type"]
     narrow = [
         cum_rate(facts, venue_key, "is_win", "jockey_win_rate_venue_cond", hot["venue"]),
         last_rate(facts, "trainer_id", "is_win", 30, "trainer_win_rate_last30", hot["trainer"]),
@@ -245,11 +246,19 @@ def training_features(df: DataFrame, prior: str = "global") -> DataFrame:
         asof_rate(facts, "trainer_id", prefix="trainer_prior"),
         asof_rate(facts, "jockey_id", prefix="jockey_prior"),
         asof_rate(facts, "owner", prefix="owner_prior"),
-        asof_shrunk_rate(facts, ["sire", "course_type"], prior=prior),
-        asof_shrunk_mean(base.select(*key, DATE, "sire", "course_type", "race_time_zscore"), ["sire", "course_type"]),
+        asof_shrunk_rate(facts, sire, prior=prior),
+        asof_shrunk_mean(base.select(*key, DATE, *sire, "race_time_zscore"), sire),
     ]
     known = set(facts.columns) | {"race_time_zscore"}
-    for part in narrow:
-        new = [c for c in part.columns if c not in known]
-        wide = wide.join(part.select(*key, *new), key, "left")
-    return pace(wide)
+    parts = [part.select(*key, *[c for c in part.columns if c not in known]) for part in narrow]
+    return wide.join(side_by_side(parts, key).hint("merge"), key, "left")
+
+
+def side_by_side(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """Feature frames that all hold one row per entry, side by side. The narrow frames meet each other first, so the
+    wide rows take part in a single join; all of these joins share one partitioning and sort order. Frames of the
+    entry grain grow with the data, so they are merged and never broadcast, whatever their estimated size."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p.hint("merge"), list(key))
+    return out

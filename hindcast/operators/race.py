@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hindcast import schema as S
 from hindcast.functions.clean import _c
 from hindcast.operators.keyed import exact_quantiles
+from hindcast.session import stored
 
 RACE, ENTRY = "race_id", "horse_number"
 
@@ -103,7 +104,7 @@ def dispersion(df: DataFrame, col: str = "odds") -> DataFrame:
 
 def dispersion_tier(df: DataFrame, col: str = "odds", labels: Sequence[str] = tuple(S.DISPERSION_TIERS)) -> DataFrame:
     """Equal-count tiers of the spread of log odds, one row per race."""
-    d = dispersion(df, col)
+    d = stored(dispersion(df, col))  # one narrow row per race, read by every quantile pass
     q = len(labels)
     cuts = exact_quantiles(d, "dispersion", [i / q for i in range(1, q)])
     tier = F.when(F.col("dispersion").isNull(), F.lit(None).cast("string"))

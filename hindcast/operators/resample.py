@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hindcast import schema as S
 from hindcast.operators.bets import bet_records, fill_grid, merged
-from hindcast.operators.evaluate import race_stats
+from hindcast.operators.evaluate import flat_stats, stat_exprs
 from hindcast.operators.keyed import dense_index
 from hindcast.operators.race import ENTRY, RACE
 
@@ -51,12 +51,19 @@ def poisson_count(x: Column) -> Column:
 
 
 def replicates(df: DataFrame, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """``df`` once per replicate with columns ``b`` and ``w`` (count of the unit, rows with count 0 left out)."""
+    """``df`` once per replicate with columns ``b`` and ``w`` (count of the unit, rows with count 0 left out).
+
+    The narrow units are spread over all partitions first, because every row is about to become ``n_boot`` rows.
+    """
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = _uniform(F.col("__h"), F.col("b"))
     return (
-        df.withColumn("__h", _coefficients(seed, unit))
+        df.repartition(spread, F.xxhash64(*unit))
+        .withColumn("__h", _coefficients(seed, unit))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("w", poisson_count(_uniform(F.col("__h"), F.col("b"))))
-        .drop("__h").filter("w > 0")
+        .filter(x >= POISSON_CUTS[0])
+        .withColumn("w", poisson_count(x))
+        .drop("__h")
     )
 
 
@@ -176,10 +183,12 @@ def combo_ci(entries: DataFrame, preds: DataFrame, payoffs: DataFrame, bet: str,
 
 
 def pair_stats(entries: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per race the sufficient statistics of both models, from one pass over the entries."""
-    sa, sb = (race_stats(entries, p).select(RACE, "nll_win", "nll_place", "n", "hit", "ret") for p in (a, b))
-    both = sa.select(RACE, *[F.col(c).alias(f"{c}_a") for c in sa.columns if c != RACE])
-    return both.join(sb.select(RACE, *[F.col(c).alias(f"{c}_b") for c in sb.columns if c != RACE]), RACE)
+    """Sufficient statistics of every race for both models, from one aggregation over the entries."""
+    m = entries.select(RACE, ENTRY, "is_win", "is_placed", "odds")
+    for tail, p in (("_a", a), ("_b", b)):
+        p = p.select(RACE, ENTRY, F.col("win_prob").alias(f"w{tail}"), F.col("place_prob").alias(f"p{tail}"))
+        m = m.join(p, [RACE, ENTRY])
+    return flat_stats(m.groupBy(RACE).agg(*stat_exprs("w_a", "p_a", "_a"), *stat_exprs("w_b", "p_b", "_b")), ["_a", "_b"])
 
 
 PAIRED = ["win_logloss", "place_logloss", "win_accuracy", "recovery_rate"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast.plans.entries import entries
 from hindcast.plans.oracle_base import with_e
+from hindcast.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,9 +38,12 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-def on_entries(name: str, sql: str | None = None):
-    """Register a function of the typed entries."""
+def on_entries(name: str, sql: str | None = None, store: bool = False):
+    """Register a function of the typed entries; ``store`` for functions that read them many times."""
     def wrap(fn):
-        register(name, sql)(lambda spark, sf_dir: fn(entries(spark, sf_dir)))
+        def run(spark, sf_dir):
+            e = entries(spark, sf_dir)
+            return fn(stored(e) if store else e)
+        register(name, sql)(run)
         return fn
     return wrap

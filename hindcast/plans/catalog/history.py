@@ -197,7 +197,7 @@ FROM m JOIN dp USING (owner, date) JOIN sp USING (sire, course_type, date) JOIN
 WINDOW h AS (PARTITION BY horse_id {O})"""
 
 
-@on_entries("training_features", oracle(_ALL_SQL, MEASURED, daily_sql("dp", "owner"), SIRE_DAYS, SPEED_DAYS, rounds=[c for c in _ALL_PICK if not c.startswith("best")]))
+@on_entries("training_features", oracle(_ALL_SQL, MEASURED, daily_sql("dp", "owner"), SIRE_DAYS, SPEED_DAYS, rounds=[c for c in _ALL_PICK if not c.startswith("best")]), store=True)
 def _(e):
     return H.training_features(e).select("race_id", "horse_number", *_ALL_PICK)
 
@@ -233,7 +233,7 @@ LEFT JOIN sc ON up.horse_id = sc.horse_id AND up.course_type = sc.course_type AN
              row_number() OVER (PARTITION BY horse_id ORDER BY date DESC, race_id DESC, horse_number DESC) AS rn FROM hm)""",
     f"""sc AS (SELECT horse_id, course_type, distance, {_STATE_C},
              row_number() OVER (PARTITION BY horse_id, course_type, distance ORDER BY date DESC, race_id DESC, horse_number DESC) AS rn FROM hm)""",
-    rounds=_doubles(_STATE_N + _STATE_CN)))
+    rounds=_doubles(_STATE_N + _STATE_CN)), store=True)
 def _(e):
     hist, up = history_upcoming(e)
     keep = ["race_id", "horse_number", "horse_id", "date", "jockey_id", "course_type", "distance"]
@@ -295,7 +295,7 @@ LEFT JOIN (SELECT sire, course_type, sum(race_time_zscore) AS s, count(race_time
   ON ss.sire = up.sire AND ss.course_type = up.course_type
 LEFT JOIN (SELECT bracket_number, {BAND_SQL} AS band, avg(finishing_position) AS rate FROM hist GROUP BY ALL) br
   ON br.bracket_number = up.bracket_number AND br.band = {BAND_SQL.replace('distance', 'up.distance')}
-CROSS JOIN (SELECT avg(is_placed) AS rate FROM hist) g""", CUT, HIST_M, rounds=_SERVE))
+CROSS JOIN (SELECT avg(is_placed) AS rate FROM hist) g""", CUT, HIST_M, rounds=_SERVE), store=True)
 def _(e):
     hist, up = history_upcoming(e)
     return V.serve_assemble(hist, up.drop("odds", "tenths")).select("race_id", "horse_number", *_SERVE)

@@ -21,13 +21,13 @@ def _fitted(e, half_life=None):
     return L.train(train, FEATURES, half_life, SMALL), val, test
 
 
-@on_entries("place_model")
+@on_entries("place_model", store=True)
 def _(e):
     train, _, test = split_by_date(_features(e))
     return L.raw_score(L.fit_place(train, FEATURES, None, SMALL), test, "place_prob").select("race_id", "horse_number", "place_prob")
 
 
-@on_entries("win_model")
+@on_entries("win_model", store=True)
 def _(e):
     models, _, test = _fitted(e, 1095.0)
     return L.predict(models, test).select("race_id", "horse_number", "win_prob", "predicted_rank")
@@ -37,47 +37,47 @@ for _method, _name in (("isotonic", "isotonic_calibrate"), ("sigmoid", "platt_ca
     def _calibrated(e, method=_method):
         models, val, test = _fitted(e)
         return L.predict(L.calibrate(models, val, method), test).select("race_id", "horse_number", "win_prob", "place_prob")
-    on_entries(_name)(_calibrated)
+    on_entries(_name, store=True)(_calibrated)
 
 
-@on_entries("importance_rank")
+@on_entries("importance_rank", store=True)
 def _(e):
     models, _, _ = _fitted(e)
     spark = e.sparkSession
     return L.importance_rank(models.win, spark, "win").unionByName(L.importance_rank(models.place, spark, "place"))
 
 
-@on_entries("permutation_importance")
+@on_entries("permutation_importance", store=True)
 def _(e):
     models, val, test = _fitted(e)
     return L.permutation_importance(L.calibrate(models, val), test, ["popularity", "dam"], n_repeats=2)
 
 
-@on_entries("sweep")
+@on_entries("sweep", store=True)
 def _(e):
     return L.sweep_half_life(_features(e), FEATURES, (1095.0, None), SMALL)
 
 
-@on_entries("sweep_longshot")
+@on_entries("sweep_longshot", store=True)
 def _(e):
     return L.sweep_longshot(_features(e), FEATURES, params=SMALL)
 
 
-@on_entries("sweep_history")
+@on_entries("sweep_history", store=True)
 def _(e):
     return L.sweep_history(_features(e), lambda df: df, FEATURES, (2, None), params=SMALL)
 
 
-@on_entries("compare_history")
+@on_entries("compare_history", store=True)
 def _(e):
     return L.compare_history(_features(e), 2, None, lambda df: df, FEATURES, n_boot=100, params=SMALL)
 
 
-@on_entries("sweep_params")
+@on_entries("sweep_params", store=True)
 def _(e):
     return L.sweep_params(_features(e), FEATURES, [{"maxIter": 2, "maxDepth": 2}, {"maxIter": 2, "maxDepth": 3, "half_life": 1095.0}], 2)
 
 
-@on_entries("walk_forward_fit")
+@on_entries("walk_forward_fit", store=True)
 def _(e):
     return L.run_folds(_features(e), FEATURES, 3, params=SMALL).withColumn("fold", F.col("fold").cast("int"))

@@ -6,8 +6,9 @@ On a cluster the caller's session is used as it is; nothing here is forced on it
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "hindcast", cores: str = "*", memory: str = "8g",
@@ -34,3 +35,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hindcast-ckpt-"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the checkpoint folder and read back.
+
+    For frames that several jobs read: the lineage ends here, a lost executor re-reads files, and each reader still
+    scans only the columns and rows it needs. The folder's own retention removes the table.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
