@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, pieces, quality, wordpiece
+from hindcast.llm import chat, decontam, jaccard, pieces, quality, wordpiece
 from hindcast.llm.common import sha256, table
 
 QUERIES: dict = {}
@@ -114,3 +114,45 @@ FROM counted"""
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.measure(docs, keep=["doc_id"]).drop("cleaned")
+
+
+@query(r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (SELECT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + 9], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM items WHERE len(w) > 0)),
+places AS (SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM docs, (SELECT DISTINCT k FROM wins))),
+found AS (SELECT doc_id, s, places.k, item_id FROM places JOIN wins USING (win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""")
+def op5_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+@query(r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM docs WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * o >= 80 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.a, e.b FROM r JOIN both_ways e ON r.b = e.a)
+  SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, docs.doc_id) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = docs.doc_id""")
+def op9_jaccard_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_components(docs)

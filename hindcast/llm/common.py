@@ -67,3 +67,13 @@ def sha256(col: Column) -> Column:
 def lower_ascii(col: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Keys that may be sent to every task.
+BROADCAST_KEYS = 500_000
+
+
+def within(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``keys``. Few keys, as counted, are sent to the tasks; more are joined."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
