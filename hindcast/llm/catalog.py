@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, decontam, jaccard, pieces, quality, wordpiece
+from hindcast.llm import chat, decontam, jaccard, pieces, quality, repeats, wordpiece
 from hindcast.llm.common import sha256, table
 
 QUERIES: dict = {}
@@ -156,3 +156,10 @@ FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = docs.doc_i
 def op9_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.similar_components(docs)
+
+
+@query()
+def op6_suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

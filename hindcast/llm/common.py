@@ -70,10 +70,37 @@ def lower_ascii(col: Column) -> Column:
 
 
 #: Keys that may be sent to every task.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 1_000_000
 
 
-def within(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is in ``keys``. Few keys, as counted, are sent to the tasks; more are joined."""
+def within(df: DataFrame, keys: DataFrame, key: str, anti: bool = False) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``keys``, or with ``anti`` the others. Few keys, as counted, are sent to the
+    tasks; more are joined."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys, key, "left_anti" if anti else "left_semi")
+
+
+def attach(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` left-joined with ``found`` (one row for each of its ``keys``, nulls included).
+
+    If few rows are found, as counted, only the rows of ``df`` with the hash of a found key take part in the join, and
+    the texts of all others are not shuffled.
+    """
+    hashed = F.xxhash64(*keys)
+    hashes = found.select(hashed.alias("__hash")).distinct()
+    rows = df.withColumn("__hash", hashed)
+    added = [F.col(c) for c in found.columns if c not in keys]
+    right = found.withColumn("__hash", hashed).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = rows["__hash"] == right["__hash"]
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    if hashes.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return rows.join(right, same, "left").select(*df.columns, *added)
+    few = F.broadcast(hashes)
+    touched = rows.join(few, "__hash", "left_semi")
+    same = touched["__hash"] == right["__hash"]
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = touched.join(right, same, "left").select(*df.columns, *added)
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name not in keys]
+    return rows.join(few, "__hash", "left_anti").select(*df.columns, *missing).unionByName(joined)
