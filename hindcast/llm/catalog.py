@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, decontam, jaccard, pieces, quality, repeats, wordpiece
+from hindcast.llm import chat, decontam, jaccard, lines, pieces, quality, repeats, wordpiece
 from hindcast.llm.common import sha256, table
 
 QUERIES: dict = {}
@@ -163,3 +163,11 @@ def op6_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = repeats.remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_same", "n_near", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"),
+                      sha256(F.col("text")).alias("kept_sha256"))

@@ -80,6 +80,18 @@ def within(df: DataFrame, keys: DataFrame, key: str, anti: bool = False) -> Data
     return df.join(F.broadcast(keys) if few else keys, key, "left_anti" if anti else "left_semi")
 
 
+def right_small(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``df`` with ``keys``, which is sent to the tasks if it has few rows, as counted."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key)
+
+
+def left_small(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Left join of ``df`` with ``found``, which is sent to the tasks if it has few rows, as counted."""
+    few = found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(found) if few else found, key, "left")
+
+
 def attach(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` left-joined with ``found`` (one row for each of its ``keys``, nulls included).
 

@@ -16,3 +16,41 @@ def repeats(texts: list[str | None], length: int = 200) -> list[tuple[int, int,
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out.append((len(r), sum(gone), spans, bytes(b for b, g in zip(r, gone) if not g)))
     return out
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def dedup_lines(rows: list[tuple[int, str | None]], most: int, min_chars: int) -> dict[int, tuple]:
+    """key -> (text, lines, same, near); keys are unique."""
+    first: dict[str, tuple[int, int]] = {}
+    for k, text in sorted(rows):
+        for at, line in enumerate((text or "").split("\n")):
+            if len(line) >= min_chars:
+                first.setdefault(line, (k, at))
+    by_size: dict[int, list[str]] = {}
+    for line in first:
+        by_size.setdefault(len(line), []).append(line)
+    near = {s for s in first for n in range(len(s) - most, len(s) + most + 1) for r in by_size.get(n, [])
+            if first[r] < first[s] and edits(r, s) <= most}
+    out = {}
+    for k, text in rows:
+        if text is None:
+            out[k] = (None, 0, 0, 0)
+            continue
+        parts, left, n_same, n_near = text.split("\n"), [], 0, 0
+        for at, line in enumerate(parts):
+            if line in near:
+                n_near += 1
+            elif len(line) >= min_chars and first[line] != (k, at):
+                n_same += 1
+            else:
+                left.append(line)
+        out[k] = ("\n".join(left), len(parts), n_same, n_near)
+    return out
