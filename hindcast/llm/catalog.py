@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, decontam, jaccard, lines, pieces, quality, repeats, wordpiece
+from hindcast.llm import chat, decontam, jaccard, langid, lines, pieces, pii, quality, repeats, wordpiece
 from hindcast.llm.common import sha256, table
 
 QUERIES: dict = {}
@@ -171,3 +171,28 @@ def op3_line_dedup(spark, sf_dir):
     out = lines.dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_same", "n_near", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"),
                       sha256(F.col("text")).alias("kept_sha256"))
+
+
+@query()
+def op8_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find(docs)
+    mark = lambda s, kind: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
+    base = F.transform("spans", lambda s: mark(s, s["kind"]))
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(len(pii.KINDS)).alias("kind"), mark(s, F.lit("term")).alias("m")))
+    ranked = F.transform("spans", lambda s: F.struct(
+        s["start"].alias("start"), (F.array_position(F.array(*[F.lit(k) for k in pii.KINDS]), s["kind"]) - 1).cast("int").alias("kind"),
+        mark(s, s["kind"]).alias("m")))
+    every = F.transform(F.sort_array(F.concat(ranked, terms)), lambda s: s["m"])
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[number(k) for k in pii.KINDS], sha256(F.array_join(base, ",")).alias("base_sha256"), F.array_join(every, ",").alias("spans"),
+                      F.size("terms").cast("long").alias("n_term"))
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    languages, model = langid.fit_text_model(table(spark, sf_dir, "documents"))
+    out = langid.identify(table(spark, sf_dir, "pages"), languages, model)
+    return out.withColumn("probability", F.round("probability", 6))
