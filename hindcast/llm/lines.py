@@ -119,15 +119,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", ed
     hits = right_small(lines.withColumn("h", F.struct("h1", "h2")).drop("h1", "h2"),
                        gone.select(F.struct("h1", "h2").alias("h"), "first", F.coalesce("near", F.lit(False)).alias("near")), "h")
     here = F.struct("id", "at").eqNullSafe(F.col("first"))
-    removed = hits.filter(F.col("near") | ~here).groupBy("id").agg(F.collect_set(F.struct("at", "near")).alias("gone"))
+    removed = hits.filter(F.col("near") | ~here).groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("at", "near")).alias("__gone"))
     known = [c for c in docs.columns if c not in ("n_lines", "n_same", "n_near")]
-    out = attach(docs.select(*known, F.col(f"`{key}`").alias("id")), stored(removed), ["id"])
+    out = attach(docs.select(*[F.col(f"`{c}`") for c in known], F.col(f"`{key}`").alias("__id")), stored(removed), ["__id"])
     parts = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    at = F.transform("gone", lambda g: g["at"])
+    at = F.transform("__gone", lambda g: g["at"])
     left = F.filter(parts, lambda line, i: ~F.array_contains(at, i))
-    text = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n")).alias(text_col)
-    number = lambda flag: F.coalesce(F.size(F.filter("gone", lambda g: g["near"] == flag)), F.lit(0)).cast("long")
+    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n")).alias(text_col)
+    number = lambda flag: F.coalesce(F.size(F.filter("__gone", lambda g: g["near"] == flag)), F.lit(0)).cast("long")
     return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in known],
                       F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                      F.when(F.col("gone").isNull(), 0).otherwise(number(False)).cast("long").alias("n_same"),
-                      F.when(F.col("gone").isNull(), 0).otherwise(number(True)).cast("long").alias("n_near"))
+                      F.when(F.col("__gone").isNull(), 0).otherwise(number(False)).cast("long").alias("n_same"),
+                      F.when(F.col("__gone").isNull(), 0).otherwise(number(True)).cast("long").alias("n_near"))

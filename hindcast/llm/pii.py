@@ -200,10 +200,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit
     """``docs`` with what ``find`` reports taken out of the text: base spans become their kind in brackets, terms are replaced by
     their class or go. Overlapping spans become one, named after the first. Columns as in ``docs``; null texts stay null."""
     spans = find(docs, key, text_col, limits).dropDuplicates([key, "text_hash"]).select(
-        F.col(key).alias("__key"), F.col("text_hash").alias("__th"), "spans", "terms")
+        F.col(key).alias("__key"), F.col("text_hash").alias("__th"), F.col("spans").alias("__spans"), F.col("terms").alias("__terms"))
     rows = docs.withColumns({"__key": F.col(f"`{key}`"), "__th": F.xxhash64(F.col(f"`{text_col}`"))})
-    placed = attach(rows, spans.filter((F.size("spans") > 0) | (F.size("terms") > 0)), ["__key", "__th"])
+    placed = attach(rows, spans.filter((F.size("__spans") > 0) | (F.size("__terms") > 0)), ["__key", "__th"])
     keep, schema = docs.columns, docs.schema
+    placed = placed.select(*[F.col(f"`{c}`") for c in keep], "__spans", "__terms")
 
     def cut(text: str, spans: list[dict], terms: list[dict]) -> str:
         marks = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in spans or []]
@@ -221,7 +222,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text_col):
-                rows = zip(*(part.column(c).to_pylist() for c in (text_col, "spans", "terms")), strict=True)
+                rows = zip(*(part.column(c).to_pylist() for c in (text_col, "__spans", "__terms")), strict=True)
                 texts = [None if t is None else cut(t, s, x) if s or x else t for t, s, x in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in keep], names=keep)
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast.llm.common import map_texts
@@ -146,9 +147,7 @@ def measure(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), keep:
 
 
 def clean(df: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, with their failing lines removed; columns as in ``df``."""
-    from pyspark.sql import functions as F
-    if {f.name for f in MEASURES.fields} & set(df.columns):
-        raise ValueError(f"the measures need these names: {sorted(f.name for f in MEASURES.fields)}")
-    out = measure(df, text_col, rules).filter("kept")
-    return out.select(*[F.col("cleaned").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    """The documents that are kept, with their failing lines removed; columns as in ``df``, whatever their names."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc"), F.col(f"`{text_col}`").alias("text"))
+    out = measure(whole, "text", rules, keep=["__doc"]).filter("kept")
+    return out.select(*[F.col("cleaned").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in df.columns])
