@@ -14,12 +14,14 @@ from hindcast.operators.race import ENTRY, RACE
 from hindcast.operators.splits import filter_longshot
 
 EPS = 1e-15  # one clip for every log-loss
+BIAS_PLACES = 9  # a bias that is zero up to the error of its sum has no direction of its own
 METRICS = ["win_accuracy", "recovery_rate", "win_logloss", "place_logloss", "win_brier", "place_brier"]
 
 
 def nll(y: str, p: str) -> Column:
+    """Log-loss of one row; null where the label or the probability is."""
     q = F.least(F.greatest(F.col(p), F.lit(EPS)), F.lit(1 - EPS))
-    return -F.when(F.col(y) == 1, F.ln(q)).otherwise(F.ln(1 - q))
+    return F.when(F.col(p).isNotNull() & F.col(y).isNotNull(), -F.when(F.col(y) == 1, F.ln(q)).otherwise(F.ln(1 - q)))
 
 
 def brier(y: str, p: str) -> Column:
@@ -27,12 +29,12 @@ def brier(y: str, p: str) -> Column:
 
 
 def stat_exprs(win: str = "win_prob", place: str = "place_prob", tail: str = "") -> list[Column]:
-    """Aggregates of one race for one model: loss sums, runner count, and the best runner."""
+    """Aggregates of one race for one model: loss sums, the rows behind each, and the best runner with a probability."""
     return [
         F.sum(nll("is_win", win)).alias(f"nll_win{tail}"), F.sum(nll("is_placed", place)).alias(f"nll_place{tail}"),
         F.sum(brier("is_win", win)).alias(f"se_win{tail}"), F.sum(brier("is_placed", place)).alias(f"se_place{tail}"),
-        F.count(win).alias(f"n{tail}"),
-        F.max_by(F.struct("is_win", "odds"), F.struct(F.col(win), -F.col(ENTRY))).alias(f"best{tail}"),
+        F.count(nll("is_win", win)).alias(f"n_win{tail}"), F.count(nll("is_placed", place)).alias(f"n_place{tail}"),
+        F.max_by(F.struct("is_win", "odds"), F.when(F.col(win).isNotNull(), F.struct(F.col(win), -F.col(ENTRY)))).alias(f"best{tail}"),
     ]
 
 
@@ -41,8 +43,9 @@ def flat_stats(stats: DataFrame, tails: Sequence[str] = ("",)) -> DataFrame:
     cols = [RACE]
     for t in tails:
         win = F.col(f"best{t}.is_win")
-        cols += [f"{c}{t}" for c in ("nll_win", "nll_place", "se_win", "se_place", "n")]
-        cols += [win.alias(f"hit{t}"), F.when(win == 1, F.coalesce(f"best{t}.odds", F.lit(0.0))).otherwise(0.0).alias(f"ret{t}")]
+        cols += [f"{c}{t}" for c in ("nll_win", "nll_place", "se_win", "se_place", "n_win", "n_place")]
+        back = F.when(win == 1, F.coalesce(f"best{t}.odds", F.lit(0.0))).otherwise(0.0)
+        cols += [win.alias(f"hit{t}"), F.when(win.isNotNull(), back).alias(f"ret{t}")]
     return stats.select(*cols)
 
 
@@ -54,11 +57,11 @@ def race_stats(entries: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 def metrics_of(stats: DataFrame) -> DataFrame:
-    n = F.sum("n")
+    wins, places = F.nullif(F.sum("n_win"), F.lit(0)), F.nullif(F.sum("n_place"), F.lit(0))
     return stats.agg(
         F.avg("hit").alias("win_accuracy"), (F.sum("ret") / F.nullif(F.count("hit"), F.lit(0))).alias("recovery_rate"),
-        (F.sum("nll_win") / n).alias("win_logloss"), (F.sum("nll_place") / n).alias("place_logloss"),
-        (F.sum("se_win") / n).alias("win_brier"), (F.sum("se_place") / n).alias("place_brier"))
+        (F.sum("nll_win") / wins).alias("win_logloss"), (F.sum("nll_place") / places).alias("place_logloss"),
+        (F.sum("se_win") / wins).alias("win_brier"), (F.sum("se_place") / places).alias("place_brier"))
 
 
 def evaluate(entries: DataFrame, preds: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def calibration_bias(curve: DataFrame) -> DataFrame:
         (F.sum(F.abs(diff) * F.col("count")) / w).alias("mean_calib_error"))
     need = (F.abs("signed_bias") > S.BIAS_LIMIT) | (F.col("mean_calib_error") > S.ERROR_LIMIT)
     return out.withColumn("needs_calibration", need).withColumn(
-        "direction", F.when(need, F.when(F.col("signed_bias") > 0, "over").otherwise("under")))
+        "direction", F.when(need, F.when(F.round("signed_bias", BIAS_PLACES) > 0, "over").otherwise("under")))
 
 
 def _summary(bets: DataFrame, bet: str, pay: Column, ok: Column | None = None) -> DataFrame:

@@ -71,20 +71,19 @@ def valid_categories(base: DataFrame, courses: Sequence[str] = tuple(S.COURSES),
     return base.filter(F.col("course_type").isin(list(courses)) & F.col("track_condition").isin(list(tracks)))
 
 
+def percent(payout: Column, n: Column) -> Column:
+    """Payout per stake of 100 in percent to one place, halves up: counted in cents, so that no sum decides a half."""
+    cents = F.sum(F.round(payout * 100).cast("long"))
+    return F.call_function("div", 20 * cents + 100 * n, F.nullif(200 * n, F.lit(0))) / 10
+
+
 def recovery_by(entries: DataFrame, payoffs: DataFrame, by: str = "popularity", bet: str = S.WIN,
                 min_n: int = S.MIN_CELL) -> DataFrame:
     base = base_frame(entries, payoffs)
     pay = "win_payout" if bet == S.WIN else "place_payout"
-    out = base.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(pay).alias("total_payout"))
-    return out.filter(F.col("n") >= min_n).withColumn(
-        "recovery_rate", F.round(F.col("total_payout") / (F.col("n") * 100) * 100, 1))
-
-
-def recovery_cells(df: DataFrame, axis: str, payouts: Mapping[str, str], tier: str = "popularity_tier") -> DataFrame:
-    """Long form: one row per (tier, axis) with n and the recovery of each payout column."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.round(F.sum(c) / (F.count(F.lit(1)) * 100) * 100, 1).alias(name) for name, c in payouts.items()]
-    return df.filter(F.col(axis).isNotNull()).groupBy(tier, axis).agg(*aggs)
+    n = F.count(F.lit(1))
+    out = base.groupBy(by).agg(n.alias("n"), F.sum(pay).alias("total_payout"), percent(F.col(pay), n).alias("recovery_rate"))
+    return out.filter(F.col("n") >= min_n)
 
 
 def recovery_pivot(df: DataFrame, axis: str, order: Sequence, payout: str, tier: str = "popularity_tier",
@@ -97,8 +96,7 @@ def recovery_pivot(df: DataFrame, axis: str, order: Sequence, payout: str, tier:
     for value, name in zip(order, names or [str(v) for v in order]):
         here = F.col(axis) == F.lit(value)
         n = F.count_if(here)
-        total = F.sum(F.when(here, F.col(payout)))
-        aggs += [F.round(total / F.nullif(n * 100, F.lit(0)) * 100, 1).alias(f"recovery_{name}"), n.alias(f"n_{name}")]
+        aggs += [percent(F.when(here, F.col(payout)), n).alias(f"recovery_{name}"), n.alias(f"n_{name}")]
     cells = df.groupBy(F.col(tier).alias("tier")).agg(*aggs)
     counts = [f"n_{name}" for name in (names or [str(v) for v in order])]
     return fill_grid(cells, ["tier"], counts, tier=S.POP_TIERS)
@@ -130,8 +128,7 @@ def dispersion_report(base: DataFrame, track: str = "良", min_n: int = S.MIN_CE
     rows = good.join(d, RACE).withColumn("distance_band", tiers.distance_bucket("distance"))
     n = F.count(F.lit(1))
     cells = rows.filter(F.col("dispersion").isNotNull()).groupBy("distance_band", "dispersion", "popularity_tier").agg(
-        n.alias("n"), F.round(F.sum("win_payout") / n, 1).alias("win_recovery"),
-        F.round(F.sum("place_payout") / n, 1).alias("place_recovery"))
+        n.alias("n"), percent(F.col("win_payout"), n).alias("win_recovery"), percent(F.col("place_payout"), n).alias("place_recovery"))
     return cells.filter(F.col("n") >= min_n)
 
 

@@ -197,8 +197,8 @@ PAIRED = ["win_logloss", "place_logloss", "win_accuracy", "recovery_rate"]
 def _paired_metrics(w: Column, side: str) -> list[Column]:
     def s(c: str) -> Column:
         return F.sum(w * F.col(f"{c}_{side}"))
-    races = F.sum(w)
-    return [(s("nll_win") / s("n")).alias(f"win_logloss_{side}"), (s("nll_place") / s("n")).alias(f"place_logloss_{side}"),
+    races = F.sum(F.when(F.col(f"hit_{side}").isNotNull(), w))
+    return [(s("nll_win") / s("n_win")).alias(f"win_logloss_{side}"), (s("nll_place") / s("n_place")).alias(f"place_logloss_{side}"),
             (s("hit") / races).alias(f"win_accuracy_{side}"), (s("ret") / races).alias(f"recovery_rate_{side}")]
 
 

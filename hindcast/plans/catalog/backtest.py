@@ -37,7 +37,7 @@ MB, MA = model_sql("mb", "b"), model_sql("ma", "a")
 
 def _nll(y: str, p: str) -> str:
     q = f"least(greatest({p}, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE)"
-    return f"(-CASE WHEN {y} = 1 THEN ln({q}) ELSE ln(1 - {q}) END)"
+    return f"CASE WHEN {y} IS NOT NULL AND {p} IS NOT NULL THEN -CASE WHEN {y} = 1 THEN ln({q}) ELSE ln(1 - {q}) END END"
 
 
 METRIC_SQL = f"""avg(CASE WHEN k = 1 THEN is_win END) AS win_accuracy,
@@ -50,6 +50,26 @@ def _frames(e, model="b"):
     return en.outcomes(e), en.predictions(e, model)
 
 
+def _gaps(e):
+    """Predictions with holes: every fifth win probability and every seventh place probability is missing, and races
+    without any win probability are left."""
+    p = en.predictions(e, "b")
+    win = F.when((F.col("horse_id") % 5 != 0) & (F.col("race_id") % 11 != 0), F.col("win_prob"))
+    return p.withColumns({"win_prob": win, "place_prob": F.when(F.col("horse_id") % 7 != 0, F.col("place_prob"))})
+
+
+@on_entries("evaluate_gaps", oracle(f"""
+SELECT avg(hit) AS win_accuracy, sum(ret) / count(hit) AS recovery_rate, sum(lw) / count(lw) AS win_logloss, sum(lp) / count(lp) AS place_logloss,
+  avg((p - is_win) * (p - is_win)) AS win_brier, avg((pp - is_placed) * (pp - is_placed)) AS place_brier
+FROM (SELECT *, {_nll('is_win', 'p')} AS lw, {_nll('is_placed', 'pp')} AS lp,
+        CASE WHEN p IS NOT NULL AND row_number() OVER (PARTITION BY race_id ORDER BY p DESC NULLS LAST, horse_number) = 1 THEN is_win END AS hit,
+        CASE WHEN p IS NOT NULL AND row_number() OVER (PARTITION BY race_id ORDER BY p DESC NULLS LAST, horse_number) = 1 THEN is_win * odds END AS ret
+      FROM (SELECT race_id, horse_number, is_win, is_placed, odds, CASE WHEN horse_id % 5 <> 0 AND race_id % 11 <> 0 THEN p END AS p,
+              CASE WHEN horse_id % 7 <> 0 THEN pp END AS pp FROM mb))""", MB, rounds=E.METRICS))
+def _(e):
+    return E.evaluate(en.outcomes(e), _gaps(e))
+
+
 @on_entries("evaluate", oracle(f"SELECT {METRIC_SQL} FROM mb", MB, rounds=E.METRICS))
 def _(e):
     return E.evaluate(*_frames(e))

@@ -21,6 +21,11 @@ from hindcast.sources import store
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def percent_sql(payout: str, n: str) -> str:
+    """Percent to one place, halves up, from sums in cents."""
+    return (f"CAST((20 * sum(CAST(round({payout} * 100) AS BIGINT)) + 100 * {n}) // nullif(200 * {n}, 0) AS DOUBLE) / 10")
+
+
 @register("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def _(spark, d):
     return N.table_counts({t: en.table(spark, d, t) for t in TABLES})
@@ -73,7 +78,7 @@ def _(e):
 
 for _name, _bet, _col in (("recovery_by_popularity", S.WIN, "win_payout"), ("place_recovery_by_popularity", S.PLACE, "place_payout")):
     on_entries(_name, oracle(f"""
-SELECT popularity, count(*) AS n, sum({_col}) AS total_payout, round(sum({_col}) / (count(*) * 100) * 100, 1) AS recovery_rate
+SELECT popularity, count(*) AS n, sum({_col}) AS total_payout, {percent_sql(_col, 'count(*)')} AS recovery_rate
 FROM bf GROUP BY popularity HAVING count(*) >= 30""", PAYOFFS, BASE))(lambda e, b=_bet: N.recovery_by(e, en.payoffs(e), bet=b))
 
 
@@ -81,7 +86,7 @@ def pivot_sql(axis: str, values, names, payout: str = "win_payout", source: str
     cols = []
     for v, n in zip(values, names):
         lit = f"'{v}'" if isinstance(v, str) else str(v)
-        cols.append(f"""round(sum(CASE WHEN axis = {lit} THEN {payout} END) / nullif(count(CASE WHEN axis = {lit} THEN 1 END) * 100, 0) * 100, 1) AS recovery_{n},
+        cols.append(f"""{percent_sql(f'CASE WHEN axis = {lit} THEN {payout} END', f'count(CASE WHEN axis = {lit} THEN 1 END)')} AS recovery_{n},
   count(CASE WHEN axis = {lit} THEN 1 END) AS n_{n}""")
     tiers = ", ".join(f"('{t}', {i})" for i, t in enumerate(S.POP_TIERS))
     return oracle(f"""
@@ -119,7 +124,7 @@ def _(e):
 
 @on_entries("dispersion_axis", oracle(f"""
 SELECT {DIST_SQL} AS distance_band, CASE WHEN d <= q[1] THEN '混戦(オッズ横並び)' WHEN d <= q[2] THEN '普通' ELSE '本命はっきり(差が大きい)' END AS dispersion,
-       popularity_tier, count(*) AS n, round(sum(win_payout) / count(*), 1) AS win_recovery, round(sum(place_payout) / count(*), 1) AS place_recovery
+       popularity_tier, count(*) AS n, {percent_sql('win_payout', 'count(*)')} AS win_recovery, {percent_sql('place_payout', 'count(*)')} AS place_recovery
 FROM bf JOIN dx USING (race_id), (SELECT quantile_cont(d, [1/3::DOUBLE, 2/3::DOUBLE]) AS q FROM dx)
 WHERE track_condition = '良' AND d IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 30""", PAYOFFS, BASE,
     "dx AS (SELECT race_id, stddev_samp(ln(odds)) AS d FROM bf WHERE track_condition = '良' AND odds > 0 GROUP BY race_id)"))
