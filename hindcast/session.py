@@ -5,6 +5,7 @@ On a cluster the caller's session is used as it is; nothing here is forced on it
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -30,10 +31,13 @@ def local_session(app: str = "hindcast", cores: str = "*", memory: str = "8g",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; make one only where it is unset."""
+    """Use the folder that the session names in ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a
+    folder of its own, and one on a cluster an error: executors can't see a folder of the driver's machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hindcast-ckpt-"))
 
 
