@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, Window
@@ -31,16 +31,34 @@ DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode"
             "seed": 7, "maxBins": 64}
 
 
+def frequent_values(df: DataFrame, cols: Sequence[str], most: int) -> list[list[str]]:
+    """The ``most`` most frequent values of each text column, from one pass; ties go by value."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
+    counts = each.filter("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v"))).filter(F.col("r") <= most)
+    out: list[list[str]] = [[] for _ in cols]
+    for row in sorted(top.collect(), key=lambda r: (r.c, r.r)):
+        out[row.c].append(row.v)
+    return out
+
+
 def _fit(df: DataFrame, label: str, features: Sequence[str], weight: str | None, params: dict | None) -> PipelineModel:
-    """Categories by frequency (rare ones share the unknown slot), numbers with medians for nulls."""
+    """Categories by frequency, numbers with medians for nulls.
+
+    A text column keeps its ``maxBins - 1`` most frequent values (or ``maxCategories``, if fewer); all others, nulls and values
+    that first come up in a prediction share one more slot. So a column may have any number of values.
+    """
+    if missing := [f for f in features if f not in df.columns]:
+        raise ValueError(f"no such features: {missing}")
     types = {f.name: f.dataType for f in df.schema}
     text = [c for c in features if isinstance(types[c], T.StringType)]
     nums = [c for c in features if c not in text]
     settings = {**DEFAULTS, **(params or {})}
+    most = min(settings.pop("maxCategories", settings["maxBins"] - 1), settings["maxBins"] - 1)
     stages: list = []
     if text:
-        stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}__i" for c in text], handleInvalid="keep",
-                                    stringOrderType="frequencyDesc"))
+        labels = [x or [""] for x in frequent_values(df, text, most)]
+        stages.append(StringIndexerModel.from_arrays_of_labels(labels, inputCols=text, outputCols=[f"{c}__i" for c in text], handleInvalid="keep"))
     data = df.withColumns({c: F.col(c).cast("double") for c in nums}).withColumn("__label", F.col(label).cast("double"))
     if nums:
         stages.append(Imputer(inputCols=nums, outputCols=[f"{c}__n" for c in nums], strategy="median"))
@@ -203,13 +221,15 @@ def permutation_importance(models: Models, df: DataFrame, features: Sequence[str
                            level: float = 0.95, seed: int = 0) -> DataFrame:
     """Rise of both log-losses when a feature is shuffled, with an interval over the repeats.
 
-    Features the models do not use are skipped.
+    A feature that the models do not use is an error.
     """
     spark = df.sparkSession
     used = {c[:-3] for m in (models.win, models.place) for s in m.stages if isinstance(s, VectorAssembler) for c in s.getInputCols()}
     base = evaluate(df, predict(models, df)).first()
     out = []
-    for feature in [f for f in features if f in used and f in df.columns]:
+    if unknown := [f for f in features if f not in used or f not in df.columns]:
+        raise ValueError(f"the models do not use {unknown}")
+    for feature in features:
         for i in range(n_repeats):
             got = evaluate(df, predict(models, shuffled(df, feature, seed * 1000 + i))).first()
             for side in ("win", "place"):

@@ -1,8 +1,8 @@
 """Bootstrap intervals by reproducible resampling.
 
 ``method='poisson'`` (default) gives every unit an independent Poisson(1) count per replicate. The count is a
-function of the unit key and the replicate, so it needs no row numbers, no shuffle of units and no random state: the
-units are multiplied by their counts and summed map-side, and only ``cells x replicates`` rows move.
+function of the unit key and the replicate, so it needs no row numbers and no random state: each task multiplies a
+matrix of counts with the units' values, and only ``tasks x cells x replicates`` rows move.
 ``method='draws'`` draws exactly n units per replicate by a hashed index; it moves ``n x replicates`` rows and is
 meant for small cells.
 
@@ -13,11 +13,15 @@ gets the same counts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hindcast import schema as S
 from hindcast.operators.bets import bet_records, fill_grid, merged
@@ -51,20 +55,61 @@ def poisson_count(x: Column) -> Column:
 
 
 def replicates(df: DataFrame, unit: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """``df`` once per replicate with columns ``b`` and ``w`` (count of the unit, rows with count 0 left out).
+    """``df`` once per replicate with columns ``b`` and ``w`` (count of the unit, rows with count 0 left out): the counts
+    themselves, for looking at them. Sums over them are what ``replicate_sums`` is for."""
+    x = _uniform(F.col("__h"), F.col("b"))
+    rows = df.withColumn("__h", _coefficients(seed, unit)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    return rows.filter(x >= POISSON_CUTS[0]).withColumn("w", poisson_count(x)).drop("__h")
+
+
+#: Units whose counts for all replicates are held at a time.
+BLOCK_UNITS = 128
+
+
+def replicate_sums(df: DataFrame, unit: Sequence[str], values: Mapping[str, Column], n_boot: int, seed: int,
+                   cells: Sequence[str] = ()) -> DataFrame:
+    """For each cell and replicate ``b`` the sums of ``values`` over the units, each times its count.
 
-    The narrow units are spread over all partitions first, because every row is about to become ``n_boot`` rows.
+    A task multiplies blocks of units (counts x values) and adds up per cell, so that it hands on one row for each cell and
+    replicate, however many units it has. Units whose counts are all 0 are absent; a null value counts as 0.
     """
+    cells, names = list(cells), list(values)
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = _uniform(F.col("__h"), F.col("b"))
-    return (
-        df.repartition(spread, F.xxhash64(*unit))
-        .withColumn("__h", _coefficients(seed, unit))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .filter(x >= POISSON_CUTS[0])
-        .withColumn("w", poisson_count(x))
-        .drop("__h")
-    )
+    rows = df.repartition(spread, F.xxhash64(*unit)).select(
+        *cells, _coefficients(seed, unit).alias("__h"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in values.items()])
+    rows = rows.select(*cells, *[F.col("__h")[f"h{i}"].alias(f"__h{i}") for i in range(4)], *names)
+    kept = [f for f in rows.schema.fields if f.name in cells]
+    schema = T.StructType([*kept, T.StructField("b", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def counts(h: np.ndarray) -> np.ndarray:
+        t = np.arange(1, n_boot + 1, dtype=np.int64)
+        x = (h[:, 3:] * t + h[:, 2:3]) % PRIME
+        x = (x * t + h[:, 1:2]) % PRIME
+        x = ((x * t + h[:, :1]) % PRIME).astype(np.int32)
+        out = np.zeros(x.shape, np.float64)
+        for cut in POISSON_CUTS:
+            out += x >= cut
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            h = np.stack([batch.column(f"__h{i}").to_numpy() for i in range(4)], axis=1).astype(np.int64)
+            v = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+            of: dict[tuple, list[int]] = {}
+            for i, cell in enumerate(zip(*[batch.column(c).to_pylist() for c in cells]) if cells else [()] * batch.num_rows):
+                of.setdefault(cell, []).append(i)
+            for cell, own in of.items():
+                total = sums.setdefault(cell, np.zeros((n_boot, len(names))))
+                for k in range(0, len(own), BLOCK_UNITS):
+                    part = own[k:k + BLOCK_UNITS]
+                    total += counts(h[part]).T @ v[part]
+        for cell, total in sums.items():
+            cols = [pa.array([x] * n_boot, to_arrow_type(f.dataType)) for x, f in zip(cell, kept)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(n_boot)), *[pa.array(total[:, j].copy()) for j in range(len(names))]],
+                                             names=[*cells, "b", *names])
+
+    return rows.mapInArrow(run, schema).groupBy(*cells, "b").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _interval(rates: DataFrame, cells: Sequence[str], col: str, level: float) -> DataFrame:
@@ -96,8 +141,8 @@ def bootstrap_ci(bets: DataFrame, unit: Sequence[str], cells: Sequence[str] = ()
     mean = F.avg("__x").alias("point_estimate")
     point = x.groupBy(*cells).agg(n, mean) if cells else x.agg(n, mean)
     if method == "poisson":
-        r = replicates(x, unit, n_boot, seed).groupBy(*cells, "b").agg(
-            (F.sum(F.col("w") * F.col("__x")) / F.sum("w")).alias("rate"))
+        r = replicate_sums(x, unit, {"s": F.col("__x"), "n": F.lit(1)}, n_boot, seed, cells)
+        r = r.filter("n > 0").withColumn("rate", F.col("s") / F.col("n"))
     else:
         r = _draws(x, unit, cells, n_boot, seed)
     ci = _interval(r, cells, "rate", level)
@@ -106,11 +151,17 @@ def bootstrap_ci(bets: DataFrame, unit: Sequence[str], cells: Sequence[str] = ()
     return _flags(joined, level)
 
 
+#: Bets of all cells together whose returns are sent to every task; more are joined.
+DRAWS_IN_TASKS = 2_000_000
+
+
 def _draws(x: DataFrame, unit: Sequence[str], cells: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     whole = [*cells] or ["__all"]
     base = x if cells else x.withColumn("__all", F.lit(0))
-    indexed = dense_index(base, whole, list(unit))
     sizes = base.groupBy(*whole).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= DRAWS_IN_TASKS:
+        return _drawn_in_tasks(base, unit, whole, sizes, n_boot, seed).drop("__all")
+    indexed = dense_index(base, whole, list(unit))
     draws = (
         indexed.select(*whole, "idx").join(sizes, whole)
         .withColumn("__h", _coefficients(seed, [*whole, "idx"]))
@@ -121,6 +172,36 @@ def _draws(x: DataFrame, unit: Sequence[str], cells: Sequence[str], n_boot: int,
     return hit.groupBy(*whole, "b").agg(F.avg("__x").alias("rate")).drop("__all")
 
 
+def _drawn_in_tasks(base: DataFrame, unit: Sequence[str], whole: list[str], sizes: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """The draws with the returns of all cells at hand in every task; a task hands on one row for each cell and replicate."""
+    rows = base.select(*whole, *[c for c in unit if c not in whole], "__x").orderBy(*whole, *unit).select(*whole, "__x").toArrow()
+    returns: dict[tuple, list[float]] = {}
+    for cell, v in zip(zip(*[rows.column(c).to_pylist() for c in whole]), rows.column("__x").to_pylist()):
+        returns.setdefault(cell, []).append(v)
+    shared = base.sparkSession.sparkContext.broadcast({c: np.array(v, dtype=np.float64) for c, v in returns.items()})
+    spread = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = sizes.select(*whole, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("idx")).repartition(spread, *whole, "idx")
+    draws = draws.select(*whole, _coefficients(seed, [*whole, "idx"]).alias("h")).select(*whole, *[F.col("h")[f"h{i}"].alias(f"h{i}") for i in range(4)])
+    kept = [f for f in draws.schema.fields if f.name in whole]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        t = np.arange(1, n_boot + 1, dtype=np.int64)
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in whole]
+            for cell, h3, h2, h1, h0 in zip(zip(*cols), *[batch.column(f"h{i}").to_pylist() for i in (3, 2, 1, 0)]):
+                own = shared.value[cell]
+                u = (((h3 * t + h2) % PRIME * t + h1) % PRIME * t + h0) % PRIME
+                sums.setdefault(cell, np.zeros(n_boot)).__iadd__(own[u * len(own) // PRIME])
+        for cell, total in sums.items():
+            keys = [pa.array([x] * n_boot, to_arrow_type(f.dataType)) for x, f in zip(cell, kept)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(n_boot)), pa.array(total)], names=[*whole, "b", "s"])
+
+    schema = T.StructType([*kept, T.StructField("b", T.LongType()), T.StructField("s", T.DoubleType())])
+    drawn = draws.mapInArrow(run, schema).groupBy(*whole, "b").agg(F.sum("s").alias("s"))
+    return drawn.join(sizes, whole).select(*whole, "b", (F.col("s") / F.col("n")).alias("rate"))
+
+
 GRID_AXES = {"tier": [S.ALL_TIER, *S.POP_TIERS]}
 
 
@@ -143,13 +224,10 @@ def ev_grid_ci(entries: DataFrame, preds: DataFrame, thresholds: Sequence[float]
         RACE, ENTRY, "ev", "tier", F.coalesce(F.col("is_win") * F.col("odds"), F.lit(0.0)).alias("x"))
     ths = list(enumerate(thresholds))
 
-    def sums(w: Column) -> list[Column]:
-        out = []
-        for i, t in ths:
-            ok = F.col("ev") > t
-            out += [F.sum(F.when(ok, w * F.col("x")).otherwise(0.0)).alias(f"s{i}"),
-                    F.sum(F.when(ok, w).otherwise(0)).alias(f"n{i}")]
-        return out
+    terms = {}
+    for i, t in ths:
+        ok = F.col("ev") > t
+        terms |= {f"s{i}": F.when(ok, F.col("x")).otherwise(0.0), f"n{i}": F.when(ok, 1).otherwise(0)}
 
     def long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         names = [c for i, _ in ths for c in (f"s{i}", f"n{i}")]
@@ -159,9 +237,9 @@ def ev_grid_ci(entries: DataFrame, preds: DataFrame, thresholds: Sequence[float]
                           for i, t in ths])
         return both.select("tier", *keys, F.explode(cells).alias("c")).select("tier", *keys, "c.*").filter("n > 0")
 
-    point = long(m.groupBy("tier").agg(*sums(F.lit(1))), []).select(
+    point = long(m.groupBy("tier").agg(*[F.sum(v).alias(n) for n, v in terms.items()]), []).select(
         "threshold", "tier", F.col("n").alias("n_bets"), (F.col("s") / F.col("n")).alias("point_estimate"))
-    reps = replicates(m, [RACE, ENTRY], n_boot, seed).groupBy("tier", "b").agg(*sums(F.col("w")))
+    reps = replicate_sums(m, [RACE, ENTRY], terms, n_boot, seed, ["tier"])
     rates = long(reps, ["b"]).withColumn("rate", F.col("s") / F.col("n"))
     ci = _interval(rates, ["threshold", "tier"], "rate", level)
     return _grid_ci(point.join(ci, ["threshold", "tier"], "left"), thresholds, level)
@@ -194,28 +272,30 @@ def pair_stats(entries: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 PAIRED = ["win_logloss", "place_logloss", "win_accuracy", "recovery_rate"]
 
 
-def _paired_metrics(w: Column, side: str) -> list[Column]:
-    def s(c: str) -> Column:
-        return F.sum(w * F.col(f"{c}_{side}"))
-    races = F.sum(F.when(F.col(f"hit_{side}").isNotNull(), w))
+PARTS = ["nll_win", "nll_place", "n_win", "n_place", "hit", "ret", "races"]
+
+
+def _paired_metrics(side: str) -> list[Column]:
+    s = lambda c: F.col(f"{c}_{side}")
     return [(s("nll_win") / s("n_win")).alias(f"win_logloss_{side}"), (s("nll_place") / s("n_place")).alias(f"place_logloss_{side}"),
-            (s("hit") / races).alias(f"win_accuracy_{side}"), (s("ret") / races).alias(f"recovery_rate_{side}")]
+            (s("hit") / s("races")).alias(f"win_accuracy_{side}"), (s("ret") / s("races")).alias(f"recovery_rate_{side}")]
 
 
 def paired_bootstrap(entries: DataFrame, a: DataFrame, b: DataFrame, n_boot: int = 10_000, level: float = 0.95,
                      seed: int = 42) -> DataFrame:
     """Difference b - a of four metrics with intervals, both models judged on the same resampled races."""
     stats = pair_stats(entries, a, b)
-    one = F.lit(1)
+    stats = stats.withColumns({f"races_{x}": F.col(f"hit_{x}").isNotNull().cast("int") for x in "ab"})
+    parts = {f"{c}_{x}": F.col(f"{c}_{x}") for x in "ab" for c in PARTS}
 
     def diffs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("a"), F.col(f"{m}_b").alias("b_"),
                                   (F.col(f"{m}_b") - F.col(f"{m}_a")).alias("d")) for m in PAIRED])
-        return df.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+        both = df.select(*keys, *_paired_metrics("a"), *_paired_metrics("b"))
+        return both.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
-    point = diffs(stats.agg(*_paired_metrics(one, "a"), *_paired_metrics(one, "b")), [])
-    w = F.col("w")
-    reps = replicates(stats, [RACE], n_boot, seed).groupBy("b").agg(*_paired_metrics(w, "a"), *_paired_metrics(w, "b"))
+    point = diffs(stats.agg(*[F.sum(v).alias(n) for n, v in parts.items()]), [])
+    reps = replicate_sums(stats, [RACE], parts, n_boot, seed)
     ci = _interval(diffs(reps, ["b"]), ["metric"], "d", level)
     out = point.join(F.broadcast(ci), "metric")  # four rows
     return out.select("metric", "a", F.col("b_").alias("b"), F.col("d").alias("diff_b_minus_a"), "ci_lower", "ci_upper",

@@ -15,7 +15,7 @@ from hindcast.plans.catalog.base import on_entries, oracle
 from hindcast.plans.oracle_base import PAYOFFS, POP_TIER
 from hindcast.sources import store
 
-N_BOOT = 100
+N_BOOT = 10_000
 TIER = POP_TIER.format("popularity")
 
 
@@ -451,6 +451,17 @@ def _(e):
     return G.recommend(priced(e))
 
 
+@on_entries("recommend_no_odds", oracle("""
+SELECT *, recommended_win OR recommended_place OR recommended_quinella OR recommended_wide OR recommended_trio AS recommended FROM (
+  SELECT rk.race_id, rk.horse_number, p AS win_prob, pp AS place_prob, NULL::DOUBLE AS odds, NULL::DOUBLE AS ev, k = 1 AS recommended_win, kp <= 3 AS recommended_place,
+         bq.race_id IS NOT NULL AS recommended_quinella, bw.race_id IS NOT NULL AS recommended_wide, bt.race_id IS NOT NULL AS recommended_trio
+  FROM rk LEFT JOIN bq ON bq.race_id = rk.race_id AND bq.horse_number = rk.horse_number
+  LEFT JOIN bw ON bw.race_id = rk.race_id AND bw.horse_number = rk.horse_number
+  LEFT JOIN bt ON bt.race_id = rk.race_id AND bt.horse_number = rk.horse_number)""", *ALLBEST, rounds=["win_prob", "place_prob"]))
+def _(e):
+    return G.recommend(en.predictions(e, "b"))
+
+
 @on_entries("strategy_picks", oracle("SELECT * FROM sp", RANKED, STRAT, rounds=["ev"]))
 def _(e):
     return G.strategy_picks(priced(e))

@@ -237,6 +237,33 @@ def _(spark, d):
     return Q.worklist(Q.bad_odds(en.race_table(spark, d), en.result_table(en.entries(spark, d))), [F.desc("date"), "race_id"], 100)
 
 
+# Work lists of the other checks: ids without a master row, and races without results. Suppliers stand for jockeys, and the
+# first half of them has a master row.
+@register("worklist_jockeys", """
+SELECT l_suppkey AS jockey_id, 'J' || l_suppkey AS jockey_name FROM (SELECT DISTINCT l_suppkey FROM lineitem)
+WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) ORDER BY 1 LIMIT 50""")
+def _(spark, d):
+    used = en.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("jockey_id"), F.concat(F.lit("J"), F.col("l_suppkey").cast("string")).alias("jockey_name"))
+    master = en.table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("jockey_id"))
+    return Q.worklist(Q.missing_master(used, master, "jockey_id", "jockey_name"), ["jockey_id"], 50)
+
+
+@register("worklist_trainers", """
+SELECT o_custkey AS trainer_id, 'T' || o_custkey AS trainer_name FROM (SELECT DISTINCT o_custkey FROM orders)
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) ORDER BY 1 LIMIT 50""")
+def _(spark, d):
+    used = en.table(spark, d, "orders").select(F.col("o_custkey").alias("trainer_id"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("trainer_name"))
+    master = en.table(spark, d, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("trainer_id"))
+    return Q.worklist(Q.missing_master(used, master, "trainer_id", "trainer_name"), ["trainer_id"], 50)
+
+
+@register("worklist_races", oracle("""
+SELECT race_id, race_name, date FROM ra WHERE race_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY date DESC, race_id LIMIT 100""", RACES))
+def _(spark, d):
+    done = en.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("race_id"))
+    return Q.worklist(Q.missing_results(en.race_table(spark, d), done, date(2100, 1, 1)), [F.desc("date"), "race_id"], 100)
+
+
 # ---- stored tables ------------------------------------------------------------------------------------------------
 
 EV = "events"

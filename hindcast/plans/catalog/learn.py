@@ -50,7 +50,7 @@ def _(e):
 @on_entries("permutation_importance", store=True)
 def _(e):
     models, val, test = _fitted(e)
-    return L.permutation_importance(L.calibrate(models, val), test, ["popularity", "dam"], n_repeats=2)
+    return L.permutation_importance(L.calibrate(models, val), test, ["popularity", "odds"], n_repeats=2)
 
 
 @on_entries("sweep", store=True)

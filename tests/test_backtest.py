@@ -200,3 +200,18 @@ def test_calibration_curve_counts_everything(frames):
     assert {r.model: r.n for r in got.groupBy("model").agg(F.sum("count").alias("n")).collect()} == {"win": 8, "place": 8}
     first = got.filter("model = 'win' AND bin = 1").first()
     assert first["count"] == 3 and first.bin_center == pytest.approx(0.19)
+
+
+def test_replicate_sums_are_the_counts_times_the_values(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("u"), (F.col("id") % 3).alias("c"), (F.col("id") % 5).cast("double").alias("x"))
+    got = RS.replicate_sums(df, ["u"], {"s": F.col("x"), "n": F.lit(1)}, 30, 5, ["c"])
+    want = RS.replicates(df, ["u"], 30, 5).groupBy("c", "b").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").cast("double").alias("n"))
+    assert rows(got, "c", "b", "s", "n") == rows(want, "c", "b", "s", "n")
+
+
+def test_draws_by_join_and_in_tasks(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").alias("race_id"), (F.col("id") % 2).alias("tier"), (F.col("id") % 3 == 0).cast("int").alias("is_hit"),
+                                (F.col("id") * 0.25).alias("payout_odds"))
+    a = rows(RS.bootstrap_ci(df, ["race_id"], ["tier"], n_boot=50, method="draws"))
+    monkeypatch.setattr(RS, "DRAWS_IN_TASKS", 0)
+    assert rows(RS.bootstrap_ci(df, ["race_id"], ["tier"], n_boot=50, method="draws")) == a

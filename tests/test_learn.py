@@ -57,3 +57,15 @@ def test_shuffle_is_a_permutation(e):
 def test_importance(spark, fitted):
     r = L.importance_rank(fitted[0].win, spark, "win").collect()
     assert len(r) == len(FEATURES) and min(x["rank"] for x in r) == 1
+
+
+def test_any_number_of_categories(spark):
+    """Ten thousand values: the frequent ones are kept, the others, nulls and new values share a slot."""
+    df = spark.range(20_000).select(F.concat(F.lit("v"), (F.col("id") % 10_000).cast("string")).alias("dam"), (F.col("id") % 7).cast("double").alias("x"),
+                                    (F.col("id") % 3 == 0).cast("int").alias("is_win"))
+    model = L.fit_win(df, ["dam", "x"], None, {"maxIter": 2, "maxDepth": 2})
+    other = spark.createDataFrame([(None, 1.0, 0), ("new", 1.0, 1)], df.schema)
+    assert L.raw_score(model, other, "p").filter("p BETWEEN 0 AND 1").count() == 2
+    assert L.frequent_values(df.limit(0), ["dam"], 5) == [[]]
+    with pytest.raises(ValueError, match="nope"):
+        L.fit_win(df, ["nope"])
