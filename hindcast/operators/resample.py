@@ -71,7 +71,7 @@ def replicate_sums(df: DataFrame, unit: Sequence[str], values: Mapping[str, Colu
     """For each cell and replicate ``b`` the sums of ``values`` over the units, each times its count.
 
     A task multiplies blocks of units (counts x values) and adds up per cell, so that it hands on one row for each cell and
-    replicate, however many units it has. Units whose counts are all 0 are absent; a null value counts as 0.
+    replicate, however many units it has. A replicate that draws no unit has sums of 0; a null value counts as 0.
     """
     cells, names = list(cells), list(values)
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -276,7 +276,7 @@ PARTS = ["nll_win", "nll_place", "n_win", "n_place", "hit", "ret", "races"]
 
 
 def _paired_metrics(side: str) -> list[Column]:
-    s = lambda c: F.col(f"{c}_{side}")
+    s = lambda c: F.col(f"{c}_{side}") if c in ("nll_win", "nll_place", "hit", "ret") else F.nullif(F.col(f"{c}_{side}"), F.lit(0))
     return [(s("nll_win") / s("n_win")).alias(f"win_logloss_{side}"), (s("nll_place") / s("n_place")).alias(f"place_logloss_{side}"),
             (s("hit") / s("races")).alias(f"win_accuracy_{side}"), (s("ret") / s("races")).alias(f"recovery_rate_{side}")]
 
