@@ -48,16 +48,20 @@ def _keys(edits: int, min_chars: int) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are at most ``edits`` edits (of one character) apart.
+#: Characters after which a pair is looked at again before the rest is compared.
+HEAD = 32
+
+
+def _run(a: Column, b: Column, edits: int, finish) -> Column:
+    """Runs the automaton over ``b``; ``finish`` makes the result of its last mask.
 
     Bit d of mask e stands for the diagonal d - edits: so many characters more are read of ``a`` than of ``b`` with e edits
     at most. Each character of ``b`` moves all diagonals of the band at once.
     """
     band = 2 * edits + 1
-    x, y = F.split(a, "", -1), F.split(b, "", -1)
     full = (1 << band) - 1
-    start = F.struct(F.lit(0).alias("j"), *[F.lit(((1 << (edits + e + 1)) - 1) & ~((1 << edits) - 1)).alias(f"r{e}") for e in range(edits + 1)])
+    start = [((1 << (edits + e + 1)) - 1) & ~((1 << edits) - 1) for e in range(edits + 1)]
+    init = F.struct(F.split(a, "", -1).alias("x"), F.lit(0).alias("j"), *[F.lit(m).alias(f"r{e}") for e, m in enumerate(start)])
 
     def step(acc: Column, c: Column) -> Column:
         same = reduce(Column.bitwiseOR, [F.when(F.get(acc["x"], acc["j"] + (d - edits)) == c, 1 << d).otherwise(0) for d in range(band)])
@@ -70,13 +74,29 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             masks.append(r)
         return F.struct(acc["x"].alias("x"), (acc["j"] + 1).alias("j"), *[m.alias(f"r{e}") for e, m in enumerate(masks)])
 
-    init = F.struct(x.alias("x"), *[start[c].alias(c) for c in ("j", *[f"r{e}" for e in range(edits + 1)])])
+    return F.aggregate(F.split(b, "", -1), init, step, lambda acc: finish(acc[f"r{edits}"]))
+
+
+def alive(a: Column, b: Column, edits: int) -> Column:
+    """Whether all of ``b`` can be the start of a string within the edits of ``a`` or of a start of it."""
+    return (F.length(b) == 0) | _run(a, b, edits, lambda r: r != 0)
+
+
+def within_edits(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are at most ``edits`` edits (of one character) apart, by a banded bit-parallel automaton."""
     lead = F.length(a) - F.length(b) + edits
-    end = F.aggregate(y, init, step, lambda acc: F.call_function("shiftright", acc[f"r{edits}"], lead).bitwiseAND(F.lit(1)) == 1)
+    end = _run(a, b, edits, lambda r: F.call_function("shiftright", r, lead).bitwiseAND(F.lit(1)) == 1)
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.greatest(F.length(a), F.length(b)) <= edits).otherwise(
         (F.abs(F.length(a) - F.length(b)) <= edits) & end)
 
 
+def common_start(a: Column, b: Column, most: Column) -> Column:
+    """Length of the longest common start of two strings, ``most`` at most, by halving steps."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, F.lit(0), lambda at, x: F.when(
+        (at + x <= most) & (F.substring(a, at + 1, x) == F.substring(b, at + 1, x)), at + x).otherwise(at))
+
+
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of different lines within ``edits`` edits: hashes and first places of the ``later`` and the ``earlier`` one.
 
@@ -95,7 +115,13 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         (F.col("h1") != F.col("h1_a")) | (F.col("h2") != F.col("h2_a"))) & (apart <= 2 * edits)
     once = (F.col("n_a") < F.col("n")) | (F.col("h1") > F.col("h1_a")) | ((F.col("h1") == F.col("h1_a")) & (F.col("h2") > F.col("h2_a")))
     pairs = a.join(members, "key").filter(alike & once).dropDuplicates(["h1", "h2", "h1_a", "h2_a"])
-    near = pairs.filter(within_edits(F.col("line_a"), F.col("line"), edits))
+    near = pairs.withColumn("p", common_start(F.col("line_a"), F.col("line"), F.col("n_a")))
+    near = near.withColumn("q", common_start(F.reverse("line_a"), F.reverse("line"), F.col("n_a") - F.col("p")))
+    inner = lambda line, n: F.substring(line, F.col("p") + 1, F.col(n) - F.col("p") - F.col("q"))
+    near = near.withColumns({"inner_a": inner("line_a", "n_a"), "inner": inner("line", "n")})
+    head = F.substring("inner", F.lit(1), F.lit(HEAD))
+    near = near.filter(alive(F.substring("inner_a", F.lit(1), F.lit(HEAD + edits)), head, edits)).filter(
+        within_edits(F.col("inner_a"), F.col("inner"), edits))
     side = lambda s: F.struct(F.col(f"first{s}").alias("first"), F.col(f"h1{s}").alias("h1"), F.col(f"h2{s}").alias("h2"))
     return near.select(F.greatest(side(""), side("_a")).alias("later"), F.least(side(""), side("_a")).alias("earlier")).distinct()
 
