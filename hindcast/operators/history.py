@@ -101,16 +101,6 @@ def rolling(df: DataFrame, keys: Sequence[str], cols: Sequence[str], n: int,
     return Keyed.of(df, keys, ORDER).look_back(exprs, n).result()
 
 
-def recent_runs(df: DataFrame) -> DataFrame:
-    """Previous-run changes, last 3/5 and last 3/5 under the same course and distance.
-
-    All three share the horse partitioning, so the conditional windows only sort again.
-    """
-    keyed = Keyed.of(df, [HORSE], ORDER)
-    keyed = keyed.look_back({**LAGS, **recent_exprs()}, 5)
-    return keyed.look_back(recent_exprs(cond=True), 5, within=COND).result()
-
-
 # ---- running rates, current row excluded --------------------------------------------------------------------------
 
 def cum_rate(df: DataFrame, keys: Sequence[str], flag: str, out: str, hot=None) -> DataFrame:
@@ -197,10 +187,6 @@ def decay_weight(date: Column | str, ref: Column | str, half_life: float) -> Col
     return F.pow(F.lit(0.5), F.datediff(_c(ref), _c(date)) / F.lit(float(half_life)))
 
 
-CATEGORICAL = ["venue", "course_type", "direction", "weather", "track_condition", "grade", "sex", "sire",
-               "broodmare_sire", "jockey_id", "trainer_id"]
-
-
 def feature_columns(extra: Sequence[str] = (), drop: Sequence[str] = ()) -> list[str]:
     """Model inputs. The regional run drops class_level, class_change and grade."""
     race = ["venue", "course_type", "distance", "direction", "weather", "track_condition", "grade", "head_count",

@@ -23,11 +23,6 @@ RESULT_COLS = ["race_id", "horse_number", "finishing_position", "bracket_number"
 HORSE_COLS = ["horse_id", "sire", "dam", "broodmare_sire"]
 
 
-def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read
-    return (reader.schema(schema) if schema is not None else reader).parquet(path)
-
-
 def _have(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
