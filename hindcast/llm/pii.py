@@ -31,7 +31,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 #: More terms than this are not sent to the tasks that count them; all terms are counted then.
-MAX_TERMS = 1_000_000
+MAX_TERMS = 200_000
+#: Terms that a task counts before it hands the counts on.
+TASK_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -142,10 +144,13 @@ def _line_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = frozenset(listed) if len(listed) <= MAX_TERMS else None
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
 
+    def rows(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
         for batch in batches:
             for part in text_slices(batch, "text"):
-                counts: Counter[str] = Counter()
                 for text in part.column("text").to_pylist():
                     for line in (text or "").split("\n"):
                         words = TERM.findall(line)
@@ -153,8 +158,10 @@ def _line_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                             counts[""] += 1
                             own = set(map(str.lower, words))
                             counts.update(own if wanted is None else wanted & own)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                                 names=["term", "n"])
+                if len(counts) > TASK_TERMS:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
 
     return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
