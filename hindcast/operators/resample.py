@@ -63,7 +63,7 @@ def replicates(df: DataFrame, unit: Sequence[str], n_boot: int, seed: int) -> Da
 
 
 #: Units whose counts for all replicates are held at a time.
-BLOCK_UNITS = 128
+BLOCK_UNITS = 32
 
 
 def replicate_sums(df: DataFrame, unit: Sequence[str], values: Mapping[str, Column], n_boot: int, seed: int,
@@ -86,10 +86,10 @@ def replicate_sums(df: DataFrame, unit: Sequence[str], values: Mapping[str, Colu
         x = (h[:, 3:] * t + h[:, 2:3]) % PRIME
         x = (x * t + h[:, 1:2]) % PRIME
         x = ((x * t + h[:, :1]) % PRIME).astype(np.int32)
-        out = np.zeros(x.shape, np.float64)
+        out = np.zeros(x.shape, np.uint8)
         for cut in POISSON_CUTS:
             out += x >= cut
-        return out
+        return out.astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
