@@ -266,9 +266,12 @@ def hash_sql(unit: str, seed: int = 42) -> str:
     return ", ".join(f"CAST('0x' || substr({digest}, {1 + 7 * i}, 7) AS BIGINT) AS h{i}" for i in range(4))
 
 
-P = R.PRIME
+# Written out, not taken from the operator: the largest prime below 2**28, and its product with the probabilities that a
+# Poisson(1) count is at most 0, 1, ... 8.
+P = 268435399
+CUTS = [98751865, 197503729, 246879661, 263338306, 267452967, 268275899, 268413054, 268432648, 268435097]
 UNIFORM = f"((((h3 * (b + 1) + h2) % {P}) * (b + 1) + h1) % {P} * (b + 1) + h0) % {P}"
-COUNT = " + ".join(f"CAST(x >= {c} AS INT)" for c in R.POISSON_CUTS)
+COUNT = " + ".join(f"CAST(x >= {c} AS INT)" for c in CUTS)
 BOOTS = f"boots AS (SELECT CAST(b AS BIGINT) AS b FROM range({N_BOOT}) t(b))"
 
 
