@@ -9,7 +9,9 @@ only if its overlap with that union is large enough for a link with some member.
 3. Matrix. Any two linked sets share a token among the first ``n - ceil(t * n) + 1`` of each, in any common order of
    tokens. The order puts widely shared tokens last. (token, group) holds these tokens of all members; a document
    meets the groups of other clusters that share one.
-4. Bound and open. |set ∩ union| >= t * |set| must hold; the members of qualifying groups are then compared exactly.
+4. Bound and open. |set ∩ union| >= t * |set| must hold. The bound is taken first on hashed rows of the matrix: at most
+   (1 - t) * |set| of the set's columns may be missing from the union's. The texts of what is left meet, the bound is taken on
+   the tokens, and the members of qualifying groups are compared exactly.
 
 Links inside a cluster change no component, so they are not looked for: copies of a text, however many, cost one
 comparison each.
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
-from hindcast.llm.common import map_texts, text_slices, within
+from hindcast.llm.common import left_small, map_texts, right_small, text_slices, within
 from hindcast.llm.graph import components
 from hindcast.session import stored
 
@@ -37,6 +40,8 @@ SKETCH, ROUNDS = 16, 6
 #: Widely shared tokens that the order puts last. The bound is on the list that is sent to tasks: it changes the number of
 #: candidates, never the result.
 COMMON_TOKENS, COMMON_FROM = 200_000, 16
+#: 64-bit words of a set's row in the token-group matrix, whose columns are tokens by hash.
+WORDS = 32
 SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -99,7 +104,8 @@ def common_tokens(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
 
 
 SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("sum", T.LongType()), T.StructField("xor", T.LongType()),
-                     T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
+                     T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType())),
+                     T.StructField("bits", T.ArrayType(T.LongType()))])
 
 
 def _sets(docs: DataFrame, text_col: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -113,14 +119,16 @@ def _sets(docs: DataFrame, text_col: str, size: int, percent: int, common: np.nd
             for s in token_sets(texts, size):
                 n = len(s)
                 if not n:
-                    row = [0, 0, 0, [], []]
+                    row = [0, 0, 0, [], [], []]
                 else:
                     k = np.searchsorted(last, s)
                     hot = last[np.minimum(k, len(last) - 1)] == s if len(last) else np.zeros(n, bool)
                     first = np.concatenate([s[~hot], s[hot]])[:n - (percent * n + 99) // 100 + 1]
-                    sketch = [mixed(s * seed).min() for seed in SEEDS]
+                    sketch = np.concatenate([mixed(s[k:k + 4096] * SEEDS[:, None]).min(axis=1, keepdims=True) for k in range(0, n, 4096)], axis=1)
+                    bits = np.zeros(64 * WORDS, np.uint8)
+                    bits[(s % np.uint64(64 * WORDS)).astype(np.int64)] = 1
                     row = [n, s.sum().astype(np.int64), np.bitwise_xor.reduce(mixed(s ^ SEEDS[0])).astype(np.int64),
-                           np.array(sketch).view(np.int64), first.view(np.int64)]
+                           sketch.min(axis=1).view(np.int64), first.view(np.int64), np.packbits(bits).view(np.int64)]
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             return cols
@@ -130,42 +138,66 @@ def _sets(docs: DataFrame, text_col: str, size: int, percent: int, common: np.nd
     return map_texts(docs, text_col, ["id"], SETS, make)
 
 
-TOKENS = T.StructType([T.StructField("tokens", T.BinaryType())])
+#: Documents that ask one copy of a group.
+ASKS = 1024
 
 
-def _tokens_of(docs: DataFrame, ids: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``id`` and ``tokens`` (the whole set) of the documents in ``ids``, written to the shared folder."""
-    return stored(map_texts(within(docs, ids, "id"), text_col, ["id"], TOKENS,
-                            lambda: lambda _, texts: [[s.tobytes() for s in token_sets(texts, size)]]))
+def _ask(groups: DataFrame, asks: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the documents ``a`` of ``asks`` (g, a) and members ``b`` of the groups ``g`` (g, b) that they ask.
 
-
-def _overlaps(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``n_a``, ``n_b`` and ``both``, the sizes of the sets ``ta`` and ``tb`` and of what they share."""
-    keep = [f for f in pairs.schema.fields if f.name not in ("ta", "tb")]
-    added = [T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "both")]
+    A group is opened only if the document's overlap with the union of the members' sets allows a link; the first
+    linked member is returned. Groups must be small. One that many documents ask is copied for every ``ASKS`` of them. Texts
+    are shuffled once, next to the group.
+    """
+    copies = asks.groupBy("g").agg(F.ceil(F.count("*") / ASKS).alias("m"))
+    asking = asks.join(copies, "g").select(F.col("a").alias("id"), "g", F.pmod(F.xxhash64("a"), "m").alias("copy"), F.lit(1).alias("side"))
+    asked = groups.join(copies, "g").select(F.col("b").alias("id"), "g", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("copy"),
+                                            F.lit(0).alias("side"))
+    wanted = stored(asking.unionByName(asked.withColumn("copy", F.col("copy").cast("long"))))
+    texts = right_small(within(docs, wanted.select("id").distinct(), "id"), wanted, "id")
+    placed = texts.select("g", "copy", "side", "id", "text").repartition("g", "copy").sortWithinPartitions("g", "copy", "side")
+    key = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = []
-            for x, y in zip(b.column("ta"), b.column("tb")):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                k = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
-                sizes.append((len(s), len(t), int((large[k] == small).sum()) if len(small) else 0))
-            cols = [pa.array([z[i] for z in sizes], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *cols], names=[*[f.name for f in keep], "n_a", "n_b", "both"])
-
-    return pairs.mapInArrow(run, T.StructType(keep + added))
-
-
-def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity."""
-    sided = (pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-             .join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b"))
-    return _overlaps(sided).filter(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-
-
-def _star_links(reps: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+        now, members, union = None, [], np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                links: list[tuple] = []
+                sets = token_sets([t or "" for t in part.column("text").to_pylist()], size)
+                rows = zip(*(part.column(c).to_pylist() for c in ("g", "copy", "side", "id")), sets, strict=True)
+                for g, copy, side, own, tokens in rows:
+                    if (g, copy) != now:
+                        now, members, union = (g, copy), [], None
+                    if side == 0:
+                        members.append((own, tokens))
+                        continue
+                    if union is None:
+                        union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([t for _, t in members]))
+                    if shared(tokens, union) * 100 < percent * len(tokens):
+                        continue
+                    for b, t in members:
+                        low, high = sorted((len(tokens), len(t)))
+                        if low * 100 >= percent * high:
+                            both = shared(tokens, t)
+                            if both * 100 >= percent * (low + high - both):
+                                links.append((own, b))
+                                break
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], to_arrow(key)), pa.array([y for _, y in links], to_arrow(key))],
+                                                 names=["a", "b"])
+
+    return placed.mapInArrow(run, T.StructType([T.StructField("a", key), T.StructField("b", key)]))
+
+
+def shared(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (s, t) if len(s) <= len(t) else (t, s)
+    if not len(small):
+        return 0
+    k = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[k] == small).sum())
+
+
+def _star_links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between documents that agree in a min-hash and the smallest of those that do, where the whole sketches let
     one expect a link."""
     each = reps.select("id", F.posexplode(F.slice("sketch", 1, ROUNDS)).alias("k", "h"))
@@ -174,51 +206,40 @@ def _star_links(reps: DataFrame, docs: DataFrame, text_col: str, size: int, perc
     side = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(agree * 100 >= SKETCH * (percent - 20)).select("a", "b"))
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return stored(_linked(likely, _tokens_of(docs, ids, text_col, size), percent))
-
-
-def _opened_links(sets: DataFrame, reps: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links between clusters: ``reps`` has ``id``, ``n`` and ``cluster``."""
-    sizes = reps.groupBy("cluster").agg(F.count("*").alias("m"))
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / GROUP))
-    grouped = stored(reps.join(sizes, "cluster").select("id", "n", "cluster", "m", F.when(F.col("m") > 1, block).otherwise(0).alias("block")))
-    rows = grouped.select("id", "n", "cluster", "block").join(sets.select("id", "prefix"), "id").select(
-        "id", "n", "cluster", "block", F.explode("prefix").alias("token"))
-    from pyspark.sql import Window
+    groups = likely.select(F.col("b").alias("g"), "b").distinct()
+    return stored(_ask(groups, likely.select(F.col("b").alias("g"), "a"), docs, size, percent))
+
+
+def _opened_links(sets: DataFrame, reps: DataFrame, clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between clusters, of which ``clusters`` (id, cluster) has those of several documents of ``reps`` (id, n)."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("m"))
+    blocks = clusters.join(sizes, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), "m").alias("block"))
+    grouped = stored(left_small(reps, blocks, "id").select(
+        "id", "n", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("block", F.lit(0).cast("long")).alias("block"),
+        F.col("cluster").isNull().alias("single")))
+    rows = left_small(sets.select("id", "prefix"), clusters, "id").select(
+        "id", F.coalesce("cluster", "id").alias("cluster"), F.explode("prefix").alias("token"))
     over = Window.partitionBy("token")
     several = F.min("cluster").over(over) < F.max("cluster").over(over)
-    shared = stored(rows.withColumn("several", several).filter("several").drop("several"))
-    matrix = shared.groupBy("token", F.col("cluster").alias("gc"), F.col("block").alias("gb")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"))
+    met_tokens = stored(rows.withColumn("several", several).filter("several").select("id", "token"))
+    own = met_tokens.join(grouped, "id")
+    matrix = own.groupBy("token", F.col("cluster").alias("gc"), F.col("block").alias("gb")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("single").alias("gs"))
     fits = (F.col("n") * 100 >= percent * F.col("low")) & (F.col("high") * 100 >= percent * F.col("n"))
-    met = shared.join(matrix, "token").filter((F.col("cluster") != F.col("gc")) & fits).select(
-        F.col("id").alias("a"), "n", "gc", "gb").distinct()
-    # of two groups of one document, one asks the other
-    one = grouped.filter("m = 1").select(F.col("cluster").alias("gc"), F.lit(1).alias("one"))
-    met = met.join(one, "gc", "left").join(grouped.select(F.col("id").alias("a"), "cluster", "m"), "a")
-    met = stored(met.filter((F.col("m") > 1) | F.col("one").isNull() | (F.col("a") < F.col("gc"))).select("a", "n", "gc", "gb"))
-    members = grouped.select(F.col("id").alias("b"), F.col("n").alias("n_of_b"), F.col("cluster").alias("gc"), F.col("block").alias("gb"))
-    groups = met.select("gc", "gb").distinct().join(members, ["gc", "gb"])
-    ids = met.select(F.col("a").alias("id")).unionByName(groups.select(F.col("b").alias("id"))).distinct()
-    tokens = _tokens_of(docs, ids, text_col, size)
-    parts = groups.join(tokens.select(F.col("id").alias("b"), "tokens"), "b").groupBy("gc", "gb").agg(F.collect_list("tokens").alias("t"))
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                own = b.slice(k, 1)
-                both = np.unique(np.frombuffer(b"".join(own.column("t")[0].as_py()), np.uint64))
-                yield pa.RecordBatch.from_arrays([own.column("gc"), own.column("gb"), pa.array([both.tobytes()], pa.binary())],
-                                                 names=["gc", "gb", "tb"])
-
-    key = reps.schema["id"].dataType
-    unions = parts.mapInArrow(union, T.StructType([T.StructField("gc", key), T.StructField("gb", T.LongType()), T.StructField("tb", T.BinaryType())]))
-    asked = met.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(unions, ["gc", "gb"])
-    qualifying = _overlaps(asked).filter(F.col("both") * 100 >= percent * F.col("n_a")).select("a", "n", "gc", "gb")
-    pairs = qualifying.join(members, ["gc", "gb"]).filter(
-        (F.col("n") * 100 >= percent * F.col("n_of_b")) & (F.col("n_of_b") * 100 >= percent * F.col("n"))).select("a", "b")
-    return _linked(pairs, tokens, percent)
+    # of two single documents one asks the other
+    turn = ~(F.col("single") & F.col("gs")) | (F.col("id") > F.col("gc"))
+    met = own.join(matrix, (own.token == matrix.token) & (F.col("cluster") != F.col("gc")) & fits & turn)
+    met = stored(met.select(F.col("id").alias("a"), "n", "gc", "gb").distinct())
+    members = grouped.select(F.col("id").alias("b"), F.col("cluster").alias("gc"), F.col("block").alias("gb"))
+    groups = members.join(met.select("gc", "gb").distinct(), ["gc", "gb"])
+    # the matrix's row of a group: the union of its members' rows
+    union = groups.join(sets.select(F.col("id").alias("b"), "bits"), "b").groupBy("gc", "gb").agg(
+        F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)]).alias("union"))
+    asked = met.join(sets.select(F.col("id").alias("a"), "bits"), "a").join(union, ["gc", "gb"])
+    lacking = F.aggregate(F.zip_with("bits", "union", lambda x, u: F.bit_count(x.bitwiseAND(F.bitwise_not(u)))), F.lit(0), lambda x, y: x + y)
+    open_ = stored(asked.filter(lacking * 100 <= (100 - percent) * F.col("n")).select("a", "gc", "gb"))
+    name = F.concat_ws("|", F.col("gc").cast("string"), F.col("gb").cast("string")).alias("g")
+    return _ask(groups.join(open_.select("gc", "gb").distinct(), ["gc", "gb"]).select(name, "b"), open_.select(name, "a"), docs, size, percent)
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -236,10 +257,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     classes = stored(known.select("id", "n", "sum", "xor").join(same, ["n", "sum", "xor"]).select("id", "n", "rep").distinct())
     own = classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     reps = stored(known.join(classes.filter("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"))
-    stars = _star_links(reps, frame.filter("id IS NOT NULL"), "text", size, percent)
-    clusters = components(stars).withColumnRenamed("component", "cluster")
-    grouped = reps.select("id", "n").join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    opened = stored(_opened_links(known, grouped, frame.filter("id IS NOT NULL"), "text", size, percent))
+    with_key = frame.filter("id IS NOT NULL")
+    stars = _star_links(reps, with_key, size, percent)
+    clusters = stored(components(stars).withColumnRenamed("component", "cluster"))
+    leading = within(known, classes.filter("id <> rep").select("id").distinct(), "id", anti=True)
+    opened = stored(_opened_links(leading, reps, clusters, with_key, size, percent))
     links = stars.unionByName(opened).unionByName(own.filter("a < b").select("a", "b"))
     found = components(links)
     placed = own.join(found, own.a == found.id, "left").select(own.id.alias("id"), F.coalesce("component", "a").alias("component_id"))
