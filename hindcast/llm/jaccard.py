@@ -5,10 +5,11 @@ only if its overlap with that union is large enough for a link with some member.
 
 1. Sets. A text's distinct shingles, as 64-bit hashes. Equal sets are one class, which one document stands for.
 2. Groups. Documents that agree in a min-hash are compared with the smallest document among them; true links make
-   clusters, and a cluster is cut into groups of about ``GROUP`` documents.
+   clusters, and documents without one that resemble the same smallest document make a family. Clusters and families are
+   cut into groups of about ``GROUP`` documents.
 3. Matrix. Any two linked sets share a token among the first ``n - ceil(t * n) + 1`` of each, in any common order of
-   tokens. The order puts widely shared tokens last. (token, group) holds these tokens of all members; a document
-   meets the groups of other clusters that share one.
+   tokens. The order puts frequent tokens last. (token, group) holds these tokens of all members; a document
+   meets the groups that share one early enough for the overlap that a link needs, and the groups of its own family.
 4. Bound and open. |set ∩ union| >= t * |set| must hold. The bound is taken first on hashed rows of the matrix: at most
    (1 - t) * |set| of the set's columns may be missing from the union's. The texts of what is left meet, the bound is taken on
    the tokens, and the members of qualifying groups are compared exactly.
@@ -37,9 +38,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 GROUP = 64
 #: Min-hashes of a set; the first ``ROUNDS`` of them pick the documents to compare.
 SKETCH, ROUNDS = 16, 6
-#: Widely shared tokens that the order puts last. The bound is on the list that is sent to tasks: it changes the number of
-#: candidates, never the result.
-COMMON_TOKENS, COMMON_FROM = 200_000, 16
+#: Shared tokens, of which the order puts the more frequent later. The bound is on the list that is sent to tasks: it changes the
+#: number of candidates, never the result.
+COMMON_TOKENS, COMMON_FROM = 400_000, 2
+#: Agreement of sketches, in percent, from which documents belong to one family.
+FAMILY_PERCENT = 30
 #: 64-bit words of a set's row in the token-group matrix, whose columns are tokens by hash.
 WORDS = 32
 SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -85,8 +88,9 @@ def token_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def common_tokens(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """Sorted tokens that several sets hold within the parts of many batches; at most ``COMMON_TOKENS``."""
+def common_tokens(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens that several sets hold within parts of batches, at most ``COMMON_TOKENS``, and a class of frequency (the
+    doublings of the number of such sets)."""
     schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +103,10 @@ def common_tokens(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
                                                  names=["token", "n"])
 
     counted = docs.select(text_col).mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().astype(np.int64).view(np.uint64))
+    top = counted.filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).toArrow()
+    tokens = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.log2(top.column("n").to_numpy().astype(np.float64)[order]).astype(np.int8)
 
 
 SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("sum", T.LongType()), T.StructField("xor", T.LongType()),
@@ -108,11 +114,11 @@ SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("sum", T.Lo
                      T.StructField("bits", T.ArrayType(T.LongType()))])
 
 
-def _sets(docs: DataFrame, text_col: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, text_col: str, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
-        last = shared.value
+        last, classes = shared.value
 
         def work(_, texts):
             cols: list[list] = [[] for _ in SETS.fields]
@@ -122,8 +128,9 @@ def _sets(docs: DataFrame, text_col: str, size: int, percent: int, common: np.nd
                     row = [0, 0, 0, [], [], []]
                 else:
                     k = np.searchsorted(last, s)
-                    hot = last[np.minimum(k, len(last) - 1)] == s if len(last) else np.zeros(n, bool)
-                    first = np.concatenate([s[~hot], s[hot]])[:n - (percent * n + 99) // 100 + 1]
+                    k = np.minimum(k, max(0, len(last) - 1))
+                    own = np.where(last[k] == s, classes[k], 0) if len(last) else np.zeros(n, np.int8)
+                    first = s[np.argsort(own, kind="stable")][:n - (percent * n + 99) // 100 + 1]
                     sketch = np.concatenate([mixed(s[k:k + 4096] * SEEDS[:, None]).min(axis=1, keepdims=True) for k in range(0, n, 4096)], axis=1)
                     bits = np.zeros(64 * WORDS, np.uint8)
                     bits[(s % np.uint64(64 * WORDS)).astype(np.int64)] = 1
@@ -145,8 +152,8 @@ ASKS = 1024
 def _ask(groups: DataFrame, asks: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between the documents ``a`` of ``asks`` (g, a) and members ``b`` of the groups ``g`` (g, b) that they ask.
 
-    A group is opened only if the document's overlap with the union of the members' sets allows a link; the first
-    linked member is returned. Groups must be small. One that many documents ask is copied for every ``ASKS`` of them. Texts
+    A group is opened only if the document's overlap with the union of the members' sets allows a link. Of a group named
+    ``linked...`` the first linked member is returned, of others all. Groups must be small. One that many documents ask is copied for every ``ASKS`` of them. Texts
     are shuffled once, next to the group.
     """
     copies = asks.groupBy("g").agg(F.ceil(F.count("*") / ASKS).alias("m"))
@@ -176,12 +183,15 @@ def _ask(groups: DataFrame, asks: DataFrame, docs: DataFrame, size: int, percent
                     if shared(tokens, union) * 100 < percent * len(tokens):
                         continue
                     for b, t in members:
+                        if b == own:
+                            continue
                         low, high = sorted((len(tokens), len(t)))
                         if low * 100 >= percent * high:
                             both = shared(tokens, t)
                             if both * 100 >= percent * (low + high - both):
                                 links.append((own, b))
-                                break
+                                if str(g).startswith("linked"):
+                                    break
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], to_arrow(key)), pa.array([y for _, y in links], to_arrow(key))],
                                                  names=["a", "b"])
 
@@ -197,49 +207,69 @@ def shared(s: np.ndarray, t: np.ndarray) -> int:
     return int((large[k] == small).sum())
 
 
-def _star_links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _star_links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links between documents that agree in a min-hash and the smallest of those that do, where the whole sketches let
-    one expect a link."""
+    one expect a link; and the ``family`` of documents that at least resemble such a smallest one."""
     each = reps.select("id", F.posexplode(F.slice("sketch", 1, ROUNDS)).alias("k", "h"))
     pivot = each.groupBy("k", "h").agg(F.min("id").alias("b"), F.count("*").alias("m")).filter("m > 1").select("k", "h", "b")
     pairs = each.join(pivot, ["k", "h"]).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
     side = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(agree * 100 >= SKETCH * (percent - 20)).select("a", "b"))
+    alike = stored(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agree", agree).filter(
+        F.col("agree") * 100 >= SKETCH * FAMILY_PERCENT).select("a", "b", "agree"))
+    likely = alike.filter(F.col("agree") * 100 >= SKETCH * (percent - 20))
     groups = likely.select(F.col("b").alias("g"), "b").distinct()
-    return stored(_ask(groups, likely.select(F.col("b").alias("g"), "a"), docs, size, percent))
-
-
-def _opened_links(sets: DataFrame, reps: DataFrame, clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between clusters, of which ``clusters`` (id, cluster) has those of several documents of ``reps`` (id, n)."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("m"))
-    blocks = clusters.join(sizes, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), "m").alias("block"))
-    grouped = stored(left_small(reps, blocks, "id").select(
-        "id", "n", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("block", F.lit(0).cast("long")).alias("block"),
-        F.col("cluster").isNull().alias("single")))
-    rows = left_small(sets.select("id", "prefix"), clusters, "id").select(
-        "id", F.coalesce("cluster", "id").alias("cluster"), F.explode("prefix").alias("token"))
+    links = stored(_ask(groups, likely.select(F.col("b").alias("g"), "a"), docs, size, percent))
+    return links, alike.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("family"))
+
+
+def _groups(reps: DataFrame, clusters: DataFrame, families: DataFrame) -> DataFrame:
+    """``id``, ``n`` and the group of each document: ``single`` (no link known yet), ``gc`` (its cluster, or the family of a
+    single one), ``gb`` (a block of the cluster or family, about ``GROUP`` documents) and ``m``, the blocks."""
+    named = left_small(left_small(reps, clusters, "id"), families, "id").select(
+        "id", "n", F.col("cluster").isNull().alias("single"), F.coalesce("cluster", "family", "id").alias("gc"))
+    sizes = named.groupBy("single", "gc").agg(F.count("*").alias("size")).filter("size > 1")
+    out = left_small(named.withColumn("k", F.struct("single", "gc")), sizes.select(F.struct("single", "gc").alias("k"), "size"), "k")
+    m = F.ceil(F.coalesce("size", F.lit(1)) / GROUP)
+    return stored(out.select("id", "n", "single", "gc", F.pmod(F.xxhash64("id"), m).alias("gb"), F.coalesce("size", F.lit(1)).alias("size")))
+
+
+def _opened_links(sets: DataFrame, grouped: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between documents of different groups, and between the single ones of a family."""
+    key = F.xxhash64("single", "gc")
+    other = grouped.filter("NOT single OR gc <> id").select("id", key.alias("group"))
+    rows = left_small(sets.select("id", "prefix"), other, "id").select(
+        "id", F.coalesce("group", F.xxhash64(F.lit(True), "id")).alias("group"), F.posexplode("prefix").alias("pos", "token"))
     over = Window.partitionBy("token")
-    several = F.min("cluster").over(over) < F.max("cluster").over(over)
-    met_tokens = stored(rows.withColumn("several", several).filter("several").select("id", "token"))
-    own = met_tokens.join(grouped, "id")
-    matrix = own.groupBy("token", F.col("cluster").alias("gc"), F.col("block").alias("gb")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("single").alias("gs"))
+    several = F.min("group").over(over) < F.max("group").over(over)
+    met_tokens = stored(rows.withColumn("several", several).filter("several").select("id", "pos", "token"))
+    own = met_tokens.join(grouped, "id").withColumn("rest", F.col("n") - F.col("pos"))
+    asked = [F.col(c).alias(f"h{c[1:]}") for c in ("gc", "gb")]
+    matrix = own.groupBy("token", F.col("single").alias("hs"), *asked).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("room"))
+    # at the first token that two linked sets share, each has the whole overlap still before it
+    enough = F.least("rest", "room") * (100 + percent) >= percent * (F.col("n") + F.col("low"))
     fits = (F.col("n") * 100 >= percent * F.col("low")) & (F.col("high") * 100 >= percent * F.col("n"))
-    # of two single documents one asks the other
-    turn = ~(F.col("single") & F.col("gs")) | (F.col("id") > F.col("gc"))
-    met = own.join(matrix, (own.token == matrix.token) & (F.col("cluster") != F.col("gc")) & fits & turn)
-    met = stored(met.select(F.col("id").alias("a"), "n", "gc", "gb").distinct())
-    members = grouped.select(F.col("id").alias("b"), F.col("cluster").alias("gc"), F.col("block").alias("gb"))
-    groups = members.join(met.select("gc", "gb").distinct(), ["gc", "gb"])
+    turn = F.struct("single", "gc") > F.struct("hs", "hc")
+    met = own.join(matrix, (own.token == matrix.token) & turn & fits & enough).select(F.col("id").alias("a"), "n", "hs", "hc", "hb")
+    single = grouped.filter("single AND size > 1")
+    blocks = single.select(F.col("gc").alias("hc"), F.col("gb").alias("hb")).distinct()
+    inside = single.join(blocks, (F.col("gc") == F.col("hc")) & (F.col("hb") <= F.col("gb"))).select(
+        F.col("id").alias("a"), "n", F.lit(True).alias("hs"), "hc", "hb")
+    met = stored(met.unionByName(inside).distinct())
+    members = grouped.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("single").alias("hs"), *asked)
+    names = ["hs", "hc", "hb"]
+    groups = members.join(met.select(*names).distinct(), names)
     # the matrix's row of a group: the union of its members' rows
-    union = groups.join(sets.select(F.col("id").alias("b"), "bits"), "b").groupBy("gc", "gb").agg(
-        F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)]).alias("union"))
-    asked = met.join(sets.select(F.col("id").alias("a"), "bits"), "a").join(union, ["gc", "gb"])
+    union = groups.join(sets.select(F.col("id").alias("b"), "bits"), "b").groupBy(*names).agg(
+        F.min("n_b").alias("low"), F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)]).alias("union"))
+    asked = met.join(sets.select(F.col("id").alias("a"), "bits"), "a").join(union, names)
     lacking = F.aggregate(F.zip_with("bits", "union", lambda x, u: F.bit_count(x.bitwiseAND(F.bitwise_not(u)))), F.lit(0), lambda x, y: x + y)
-    open_ = stored(asked.filter(lacking * 100 <= (100 - percent) * F.col("n")).select("a", "gc", "gb"))
-    name = F.concat_ws("|", F.col("gc").cast("string"), F.col("gb").cast("string")).alias("g")
-    return _ask(groups.join(open_.select("gc", "gb").distinct(), ["gc", "gb"]).select(name, "b"), open_.select(name, "a"), docs, size, percent)
+    least = F.greatest(F.col("low") * 100, percent * F.col("n"))
+    bound = lacking * (100 * (100 + percent)) <= F.col("n") * (100 * (100 + percent)) - percent * (100 * F.col("n") + least)
+    open_ = stored(asked.filter(bound).select("a", *names))
+    name = F.concat_ws("|", F.when(F.col("hs"), "single").otherwise("linked"), F.col("hc").cast("string"), F.col("hb").cast("string")).alias("g")
+    return _ask(groups.join(open_.select(*names).distinct(), names).select(name, "b"), open_.select(name, "a"), docs, size, percent)
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -258,10 +288,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     own = classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     reps = stored(known.join(classes.filter("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"))
     with_key = frame.filter("id IS NOT NULL")
-    stars = _star_links(reps, with_key, size, percent)
+    stars, families = _star_links(reps, with_key, size, percent)
     clusters = stored(components(stars).withColumnRenamed("component", "cluster"))
     leading = within(known, classes.filter("id <> rep").select("id").distinct(), "id", anti=True)
-    opened = stored(_opened_links(leading, reps, clusters, with_key, size, percent))
+    grouped = _groups(reps.select("id", "n"), clusters, stored(families))
+    opened = stored(_opened_links(leading, grouped, with_key, size, percent))
     links = stars.unionByName(opened).unionByName(own.filter("a < b").select("a", "b"))
     found = components(links)
     placed = own.join(found, own.a == found.id, "left").select(own.id.alias("id"), F.coalesce("component", "a").alias("component_id"))
