@@ -168,7 +168,7 @@ def op6_suffix_dedup(spark, sf_dir):
 @query()
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, shorter=True)
     return out.select("doc_id", "n_lines", "n_same", "n_near", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"),
                       sha256(F.col("text")).alias("kept_sha256"))
 

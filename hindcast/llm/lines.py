@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from hindcast.llm.common import attach, right_small, within
 from hindcast.session import stored
 
-#: Lines with fewer characters are kept as they are: a few edits make other words of them.
-MIN_CHARS = 40
+#: Lines with fewer characters are near no other one: a few edits make other words of them.
+MIN_CHARS = 20
+#: Edits are counted, whatever the length: one replaced character of a line, or two, but not a word of three letters or more.
 EDITS = 2
 #: Letters whose counts are compared before a pair is verified; an edit changes these by two at most.
 COUNTED = "etaoinsrhldcu"
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``id``, ``at``, ``line``, its length ``n`` and two hashes of each line that takes part."""
+def _lines(docs: DataFrame, min_chars: int, shorter: bool = False) -> DataFrame:
+    """``id``, ``at``, ``line``, its length ``n`` and two hashes of each line that takes part; with ``shorter`` all but blank ones."""
     each = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    each = each.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
+    each = each.withColumn("n", F.length("line")).filter((F.col("n") >= min_chars) | (F.lit(shorter) & F.col("line").rlike(r"\S")))
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -127,18 +128,18 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-                min_chars: int = MIN_CHARS) -> DataFrame:
+                min_chars: int = MIN_CHARS, shorter: bool = False) -> DataFrame:
     """``docs`` without the lines that an earlier line repeats, with ``n_lines``, ``n_same`` and ``n_near`` of each text.
 
     Lines are parted by line feeds and ordered by (key, place), null keys first. A line of at least ``min_chars``
     characters goes if it equals an earlier one (``n_same``), or if the first line equal to it is within ``edits`` edits
-    of another one that comes first (``n_near``), even if that one goes too; the first line of such a chain stays. Shorter and
-    blank lines stay. Null texts stay null with no lines; an emptied text is the empty string. Rows that share a key are taken
+    of another one that comes first (``n_near``), even if that one goes too; the first line of such a chain stays. Shorter lines
+    stay, but with ``shorter`` those go that equal an earlier one (``n_same``), and only blank ones stay. Null texts stay null with no lines; an emptied text is the empty string. Rows that share a key are taken
     as one document given twice: the same line at the same place in both is not a repetition. Columns of ``docs``
     named like an added one are replaced. An empty table gives none.
     """
     frame = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = _lines(frame, min_chars).select("id", "at", "h1", "h2")
+    lines = _lines(frame, min_chars, shorter).select("id", "at", "h1", "h2")
     same = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("m")).filter("m > 1")
     near = near_lines(frame, edits, min_chars).select("later.h1", "later.h2").distinct().withColumn("near", F.lit(True))
     gone = stored(same.select("h1", "h2", "first").join(near, ["h1", "h2"], "full"))

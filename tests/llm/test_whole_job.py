@@ -1,6 +1,7 @@
 """Cases that earlier versions left out of the job."""
 
 import corpus_pipeline
+from hindcast.llm.catalog import QUERIES
 
 LICENCE = "Released under the terms of a licence that many documents share."
 
@@ -12,3 +13,12 @@ def test_documents_of_short_lines_stay(spark):
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     texts = {1: rows[0][1], 2: "roses are red\nviolets blue", 5: "short", 6: ""}
     assert out == {k: (t, len(t)) for k, t in texts.items()}
+
+
+def test_short_lines_take_part(spark, tmp_path):
+    """Equal lines go whatever their length, near ones from 20 characters on; blank ones stay."""
+    texts = ["Menu\n\nRead more\nA line of some thirty letters", "Menu\n\nMenus\nA line of some thirty betters\n \n ", "Read more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_lines, r.n_same, r.n_near, r.kept_chars) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert out == {0: (4, 0, 0, len(texts[0])), 1: (6, 1, 1, len("\nMenus\n \n ")), 2: (1, 1, 0, 0)}
