@@ -1,10 +1,11 @@
 """Personal data: base patterns, and terms that reveal what they protect.
 
 The entities to protect are the values that the base patterns find. A term discloses an entity as far as knowing the term
-tells the entity: with counts over the lines of the whole corpus, the pointwise mutual information of term and entity as a
-share of the entity's information content (Sánchez and Batet, "C-sanitized", 2016). It is 1 for a term that stands with
-that entity alone and 0 for one that is independent of it. Terms over ``Limits.generalise`` are replaced by their class,
-those over ``Limits.remove`` go, wherever they stand near that entity.
+tells the entity: with counts over the distinct texts of the whole corpus, the pointwise mutual information of term and entity
+as a share of the entity's information content (Sánchez and Batet, "C-sanitized", 2016). It is 1 for a term that stands with
+that entity alone and 0 for one that is independent of it. One text in common is evidence enough: most entities have no more.
+Terms over ``Limits.generalise`` are replaced by their class, those over ``Limits.remove`` go, wherever they stand in a text
+with that entity.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import attach, map_texts, text_slices
+from hindcast.llm.common import attach, left_small, map_texts, right_small, text_slices
 from hindcast.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,8 +41,6 @@ TASK_TERMS = 200_000
 class Limits:
     generalise: float = 0.6
     remove: float = 0.9
-    #: Terms on each side of an entity, in its line, that are its context.
-    reach: int = 32
 
 
 def luhn(digits: str) -> bool:
@@ -88,37 +87,24 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(DIGIT.findall(value))}"
 
 
-def contexts(text: str, spans: list[tuple[int, str, int]], reach: int) -> Iterator[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, line) of the terms near each entity; terms inside any span are left out."""
-    lines: dict[tuple[int, int], list] = {}
-    for start, kind, end in spans:
-        low, high = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        lines.setdefault((low, len(text) if high < 0 else high), []).append((start, end, entity(kind, text[start:end])))
-    for (low, high), own in lines.items():
-        line = text[low:high]
-        inside = sorted((s, e) for s, _, e in spans if s < high and e > low)
-        terms, k = [], 0
-        for m in TERM.finditer(line):
-            s, e = low + m.start(), low + m.end()
-            while k < len(inside) and inside[k][1] <= s:
-                k += 1
-            if k == len(inside) or inside[k][0] >= e:
-                terms.append((s, e, m.group().lower()))
-        for start, end, name in own:
-            before = [t for t in terms if t[1] <= start][-reach:]
-            after = [t for t in terms if t[0] >= end][:reach]
-            for s, e, term in before + after:
-                yield name, term, s, e, line
+def terms_outside(text: str, spans: list[tuple[int, str, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms of a text that are not inside any span."""
+    inside, k = sorted((s, e) for s, _, e in spans), 0
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        while k < len(inside) and inside[k][1] <= s:
+            k += 1
+        if k == len(inside) or inside[k][0] >= e:
+            yield m.group().lower(), s, e
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
-NEAR = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()),
-                     T.StructField("end", T.IntegerType()), T.StructField("line", T.LongType())])
+NEAR = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 FOUND = T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR)),
                       T.StructField("entities", T.ArrayType(T.LongType()))])
 
 
-def _found(docs: DataFrame, reach: int) -> DataFrame:
+def _found(docs: DataFrame) -> DataFrame:
     def make():
         from xxhash import xxh3_64_intdigest
         signed = lambda s: int.from_bytes(xxh3_64_intdigest(s).to_bytes(8, "little"), "little", signed=True)
@@ -128,8 +114,7 @@ def _found(docs: DataFrame, reach: int) -> DataFrame:
             for text in texts:
                 own = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-                near.append([{"entity": signed(n), "term": t, "start": s, "end": e, "line": signed(line)}
-                             for n, t, s, e, line in contexts(text, own, reach)] if own else [])
+                near.append([{"term": t, "start": s, "end": e} for t, s, e in terms_outside(text, own)] if own else [])
                 mentioned.append([signed(x) for x in {entity(k, text[s:e]) for s, k, e in own}])
             return [spans, near, mentioned]
 
@@ -138,50 +123,50 @@ def _found(docs: DataFrame, reach: int) -> DataFrame:
     return stored(map_texts(docs, "text", ["id", "th"], FOUND, make))
 
 
-def _line_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term`` and ``n``, the lines of the corpus that hold it; the empty term counts all lines with a term."""
+def _text_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term`` and ``n``, the distinct texts that hold it; the empty term counts all texts with a term.
+
+    Each of m copies of a text counts 1 / m, so that texts need no shuffle to be counted once.
+    """
     listed = [r.term for r in terms.limit(MAX_TERMS + 1).collect()]
     wanted = frozenset(listed) if len(listed) <= MAX_TERMS else None
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.DoubleType())])
+    copies = stored(docs.groupBy("th").agg(F.count("*").alias("m")).filter("m > 1"))
+    counted = left_small(docs.select("th", "text"), copies, "th").select("text", (1 / F.coalesce("m", F.lit(1))).alias("share"))
 
     def rows(counts: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["term", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    for line in (text or "").split("\n"):
-                        words = TERM.findall(line)
-                        if words:
-                            counts[""] += 1
-                            own = set(map(str.lower, words))
-                            counts.update(own if wanted is None else wanted & own)
+                for text, share in zip(part.column("text").to_pylist(), part.column("share").to_pylist(), strict=True):
+                    own = set(map(str.lower, TERM.findall(text or "")))
+                    if own:
+                        counts[""] += share
+                        for term in own if wanted is None else wanted & own:
+                            counts[term] += share
                 if len(counts) > TASK_TERMS:
                     yield rows(counts)
                     counts = Counter()
         yield rows(counts)
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(run, schema).groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosures(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``entity``, ``term`` and ``share``, the part of the entity's information that the term gives away.
 
-    Pairs that stand together in one line only, however often it is copied, tell nothing and are left out.
+    ``pairs`` has each ``entity``, ``term`` and ``th`` of a text once, and a row with a null term for each entity of a text.
     """
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.line")
-    lines = near.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("line").alias("low"), F.max("line").alias("high"))
-    pairs = stored(lines.filter("low < high").select("entity", "term", "both"))
-    counts = stored(_line_counts(docs, pairs.select("term").distinct()))
-    alone = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = counts.filter("term = ''").select(F.col("n").alias("total"))
-    joined = pairs.join(alone, "entity").join(counts.withColumnRenamed("n", "n_term"), "term").withColumn(
-        "total", F.lit(total.agg(F.max("total")).first()[0] or 1))
-    both = F.least("both", "n_entity", "n_term")
-    pmi = F.log2(both * F.col("total") / (F.col("n_term") * F.col("n_entity")))
-    return joined.select("entity", "term", F.greatest(F.lit(0.0), pmi / F.greatest(F.log2(F.col("total") / F.col("n_entity")), F.lit(1e-9))).alias("share"))
+    both = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")))
+    counts = stored(_text_counts(docs, both.select("term").filter("term IS NOT NULL").distinct()))
+    alone = both.filter("term IS NULL").select("entity", F.col("both").alias("n_entity"))
+    total = F.lit(counts.filter("term = ''").agg(F.max("n")).first()[0] or 1)
+    joined = both.join(alone, "entity").join(counts.withColumnRenamed("n", "n_term"), "term")
+    pmi = F.log2(F.col("both") * total / (F.col("n_term") * F.col("n_entity")))
+    return joined.select("entity", "term", F.greatest(F.lit(0.0), pmi / F.greatest(F.log2(total / F.col("n_entity")), F.lit(1e-9))).alias("share"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -192,11 +177,17 @@ def find(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limits: L
     empty table gives none.
     """
     frame = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
-    found = _found(frame, limits.reach)
-    telling = disclosures(found, frame).filter(F.col("share") >= limits.generalise)
-    spot = found.select("id", "th", F.explode("near").alias("x")).select("id", "th", "x.entity", "x.term", "x.start", "x.end")
+    found = _found(frame)
+    with_entity = found.filter(F.size("entities") > 0)
+    words = F.concat(F.array_distinct(F.transform("near", lambda x: x["term"])), F.array(F.lit(None).cast("string")))
+    pairs = with_entity.select("th", "entities", words.alias("words")).distinct().select("th", "words", F.explode("entities").alias("entity"))
+    pairs = stored(pairs.select("th", "entity", F.explode("words").alias("term")).distinct())
+    telling = disclosures(pairs, frame).filter(F.col("share") >= limits.generalise)
+    shares = stored(pairs.join(telling, ["entity", "term"]).groupBy("th", "term").agg(F.max("share").alias("share")))
+    spot = with_entity.select("id", "th", F.explode("near").alias("x")).select(
+        "id", F.struct("th", "x.term").alias("at"), "x.start", "x.end")
     term = F.struct("start", "end", "share")
-    each = spot.join(telling, ["entity", "term"]).groupBy("id", "th", "start", "end").agg(F.max("share").alias("share"))
+    each = right_small(spot, shares.select(F.struct("th", "term").alias("at"), "share"), "at").select("id", "at.th", "start", "end", "share").distinct()
     per_doc = stored(each.groupBy("id", "th").agg(F.sort_array(F.collect_list(term)).alias("terms")))
     out = attach(found.select("id", "th", "spans"), per_doc, ["id", "th"])
     empty = F.array().cast("array<struct<start:int,end:int,share:double>>")

@@ -1,6 +1,7 @@
 """Cases that earlier versions left out of the job."""
 
 import corpus_pipeline
+from hindcast.llm import pii
 from hindcast.llm.catalog import QUERIES
 
 LICENCE = "Released under the terms of a licence that many documents share."
@@ -22,3 +23,12 @@ def test_short_lines_take_part(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: (r.n_lines, r.n_same, r.n_near, r.kept_chars) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
     assert out == {0: (4, 0, 0, len(texts[0])), 1: (6, 1, 1, len("\nMenus\n \n ")), 2: (1, 1, 0, 0)}
+
+
+def test_terms_of_entities_of_one_text(spark):
+    """Terms tell an entity of one text, from any line and any distance; copies of a text count once."""
+    far = "Name: Zebra\n" + "common words here " * 20 + "mail ann@mail.example.com"
+    rows = [(1, far), (1, far), (2, far), (3, "mail bob@mail.example.com")] + [(10 + i, f"common words here and mail {'xyz' * i}") for i in range(1, 40)]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told = sorted((r.doc_id, [(far[t.start:t.end], t.share) for t in r.terms]) for r in out if r.terms)
+    assert told == [(k, [("Name", 1.0), ("Zebra", 1.0)]) for k in (1, 1, 2)]
