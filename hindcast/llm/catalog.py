@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, decontam, jaccard, langid, lines, pieces, pii, quality, repeats, wordpiece
+from hindcast.llm import chat, decontam, discriminant, jaccard, langid, lines, pieces, pii, quality, ranked, repeats, runs, wordpiece
 from hindcast.llm.common import sha256, table
 
 QUERIES: dict = {}
@@ -196,3 +196,57 @@ def op10_language_id(spark, sf_dir):
     languages, model = langid.fit_text_model(table(spark, sf_dir, "documents"))
     out = langid.identify(table(spark, sf_dir, "pages"), languages, model)
     return out.withColumn("probability", F.round("probability", 6))
+
+
+@query()
+def op11_quality_classifier(spark, sf_dir):
+    out = discriminant.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query(r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+corpus AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM docs),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM postings, corpus GROUP BY term, all_docs),
+scored AS (SELECT item_id, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * all_docs) // all_terms)))))::BIGINT AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op12_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def periodic(docs):
+    """The documents that the contract of the run query asks for: where the checksum h of the id ends in 0, the words from
+    place a on repeat the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    split = docs.withColumn("w", F.when(chosen, F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    sized = split.withColumn("n", F.size("w")).withColumn("g", F.floor(h / 10)).withColumn(
+        "a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    shaped = sized.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text"))
+    return shaped.select("doc_id", text.alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    out = runs.find_runs(periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), sha256(listed).alias("runs_sha256"),
+                     sha256(F.col("collapsed")).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"), (-F.col("top.p")).alias("period"),
+                      F.floor(1000 * F.col("top.n") / -F.col("top.p")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
