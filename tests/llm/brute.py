@@ -27,17 +27,18 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def dedup_lines(rows: list[tuple[int, str | None]], most: int, min_chars: int) -> dict[int, tuple]:
-    """key -> (text, lines, same, near); keys are unique."""
+def dedup_lines(rows: list[tuple[int, str | None]], most: int, min_chars: int, shorter: bool = False) -> dict[int, tuple]:
+    """key -> (text, lines, same, near); keys are unique. With ``shorter`` lines of any length but blank ones go if an earlier one is equal."""
+    counts = lambda line: len(line) >= min_chars or shorter and line.strip(" \t\n\x0b\f\r") != ""
     first: dict[str, tuple[int, int]] = {}
     for k, text in sorted(rows):
         for at, line in enumerate((text or "").split("\n")):
-            if len(line) >= min_chars:
+            if counts(line):
                 first.setdefault(line, (k, at))
     by_size: dict[int, list[str]] = {}
-    for line in first:
+    for line in filter(lambda x: len(x) >= min_chars, first):
         by_size.setdefault(len(line), []).append(line)
-    near = {s for s in first for n in range(len(s) - most, len(s) + most + 1) for r in by_size.get(n, [])
+    near = {s for s in first if len(s) >= min_chars for n in range(len(s) - most, len(s) + most + 1) for r in by_size.get(n, [])
             if first[r] < first[s] and edits(r, s) <= most}
     out = {}
     for k, text in rows:
@@ -48,7 +49,7 @@ def dedup_lines(rows: list[tuple[int, str | None]], most: int, min_chars: int) -
         for at, line in enumerate(parts):
             if line in near:
                 n_near += 1
-            elif len(line) >= min_chars and first[line] != (k, at):
+            elif counts(line) and first[line] != (k, at):
                 n_same += 1
             else:
                 left.append(line)

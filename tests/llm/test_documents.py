@@ -1,12 +1,14 @@
 """Document operators on small tables with nulls, ties, repeated rows, long texts and clashing names."""
 
 import random
+from hashlib import sha256
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from hindcast.llm import common, decontam, jaccard, lines, pii, quality, repeats
+from hindcast.llm.catalog import QUERIES
 
 DOCS = "doc_id long, text string, id string, n_words string, kept string, spans string, gone string"
 EXTRA = ("a", "b", "c", "d", "e")
@@ -52,6 +54,18 @@ def test_lines(spark, edits):
     assert got == brute.dedup_lines(rows, edits, 10)
 
 
+def test_lines_as_registered(spark, tmp_path):
+    """Near lines of 20 characters or more and equal ones of any length, in the query itself."""
+    rng = random.Random(8)
+    rows = line_rows(120) + [(200 + i, "\n".join(rng.choice(["ab", "ab ", "x" * 19, "x" * 18 + "y", " \t ", "", "z" * 20 + "q", "z" * 20 + "r", "é" * 20, "é" * 21])
+                                                  for _ in range(5))) for i in range(30)]
+    spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_same, r.n_near, r.kept_sha256) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    want = brute.dedup_lines(rows, 2, 20, shorter=True)
+    assert got == {k: (*w[1:], sha256((w[0] or "").encode()).hexdigest()) for k, w in want.items()}
+    assert sum(w[3] for w in want.values()) > 20 and sum(w[2] for w in want.values()) > 50
+
+
 def test_lines_joined(spark, joined):
     rows = line_rows(30)
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows), min_chars=10).collect()}

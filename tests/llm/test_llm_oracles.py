@@ -16,7 +16,7 @@ def con():
 
 def test_all_are_registered():
     own = [n for n in queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in own) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in own) == list(range(1, 14))
     assert "pipeline" in queries() and set(ORACLES) <= set(oracle_sql())
 
 
