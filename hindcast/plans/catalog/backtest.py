@@ -222,12 +222,12 @@ folds AS (SELECT CAST(f AS INT) AS fold, (SELECT date FROM days WHERE i = (n * f
 def fold_rows(e):
     """Metrics of every fold's test period in one pass over the entries."""
     tests = D.walk_forward_rows(e, 5).filter("role = 'test'")
-    stats = E.race_stats(tests, en.predictions(e, "b")).join(tests.select("race_id", "fold").distinct(), "race_id")
-    n = F.sum("n")
-    return stats.groupBy("fold").agg(
+    folds = tests.select("race_id", "fold").distinct()
+    stats = E.race_stats(tests, en.predictions(e, "b")).join(folds, "race_id").groupBy("fold").agg(
         F.avg("hit").alias("win_accuracy"), (F.sum("ret") / F.count("hit")).alias("recovery_rate"),
-        (F.sum("nll_win") / n).alias("win_logloss"), (F.sum("nll_place") / n).alias("place_logloss"),
-        (F.sum("se_win") / n).alias("win_brier"), (F.sum("se_place") / n).alias("place_brier"), n.alias("test_rows"))
+        (F.sum("nll_win") / F.sum("n_win")).alias("win_logloss"), (F.sum("nll_place") / F.sum("n_place")).alias("place_logloss"),
+        (F.sum("se_win") / F.sum("n_win")).alias("win_brier"), (F.sum("se_place") / F.sum("n_place")).alias("place_brier"))
+    return stats.join(F.broadcast(tests.groupBy("fold").agg(F.count(F.lit(1)).alias("test_rows"))), "fold")  # a row for each fold
 
 
 FOLD_SQL = f"fr AS (SELECT fold, {METRIC_SQL}, count(*) AS test_rows FROM mb JOIN folds ON date BETWEEN d1 AND d2 GROUP BY fold)"
