@@ -1,7 +1,7 @@
 """Model steps on Spark ML: fit, calibrate, score, importance, sweeps.
 
-Spark ML has no ranking objective, so the win model is a binary boosted-tree model on ``is_win`` whose scores are
-turned into race probabilities. Scores therefore differ from a ranking model's; compare runs made here only.
+The win model is either a boosted-tree classifier on ``is_win`` (``objective="binary"``) or boosted trees under the ranking
+objective of ``ranking`` on the relevance label (``objective="rank"``); the scores of both are turned into race probabilities.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Logisti
 from pyspark.ml.feature import Imputer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,8 @@ from hindcast import schema as S
 from hindcast.operators.evaluate import METRICS, evaluate, longshot_metrics
 from hindcast.operators.history import DATE, decay_weight
 from hindcast.operators.keyed import dense_index
-from hindcast.operators.race import ENTRY, RACE, normalise, predicted_rank, softmax
+from hindcast.operators.race import ENTRY, RACE, normalise, predicted_rank, relevance_label, softmax
+from hindcast.operators.ranking import RankModel, fit_rank, load_rank, save_rank
 from hindcast.operators.resample import paired_bootstrap
 from hindcast.operators.splits import cut_dates, filter_longshot, split_by_date, truncate_history, walk_forward
 
@@ -42,28 +43,40 @@ def frequent_values(df: DataFrame, cols: Sequence[str], most: int) -> list[list[
     return out
 
 
-def _fit(df: DataFrame, label: str, features: Sequence[str], weight: str | None, params: dict | None) -> PipelineModel:
-    """Categories by frequency, numbers with medians for nulls.
+def _stages(df: DataFrame, features: Sequence[str], most: int) -> tuple[list, DataFrame]:
+    """Stages that make the vector ``__x`` of the features, and ``df`` with numbers as doubles.
+
+    A text column keeps its ``most`` most frequent values; all others, nulls and values that first come up in a prediction
+    share one more slot. So a column may have any number of values.
 
-    A text column keeps its ``maxBins - 1`` most frequent values (or ``maxCategories``, if fewer); all others, nulls and values
-    that first come up in a prediction share one more slot. So a column may have any number of values.
+    Categories by frequency, numbers with medians for nulls.
     """
     if missing := [f for f in features if f not in df.columns]:
         raise ValueError(f"no such features: {missing}")
     types = {f.name: f.dataType for f in df.schema}
     text = [c for c in features if isinstance(types[c], T.StringType)]
     nums = [c for c in features if c not in text]
-    settings = {**DEFAULTS, **(params or {})}
-    most = min(settings.pop("maxCategories", settings["maxBins"] - 1), settings["maxBins"] - 1)
     stages: list = []
     if text:
         labels = [x or [""] for x in frequent_values(df, text, most)]
         stages.append(StringIndexerModel.from_arrays_of_labels(labels, inputCols=text, outputCols=[f"{c}__i" for c in text], handleInvalid="keep"))
-    data = df.withColumns({c: F.col(c).cast("double") for c in nums}).withColumn("__label", F.col(label).cast("double"))
     if nums:
         stages.append(Imputer(inputCols=nums, outputCols=[f"{c}__n" for c in nums], strategy="median"))
     parts = [f"{c}__i" for c in text] + [f"{c}__n" for c in nums]
     stages.append(VectorAssembler(inputCols=parts, outputCol="__x", handleInvalid="keep"))
+    return stages, df.withColumns({c: F.col(c).cast("double") for c in nums})
+
+
+def _settings(params: dict | None) -> tuple[dict, int]:
+    """Tree settings, and the number of categories that a text column keeps: ``maxCategories`` or one less than the bins."""
+    settings = {**DEFAULTS, **(params or {})}
+    return settings, min(settings.pop("maxCategories", settings["maxBins"] - 1), settings["maxBins"] - 1)
+
+
+def _fit(df: DataFrame, label: str, features: Sequence[str], weight: str | None, params: dict | None) -> PipelineModel:
+    settings, most = _settings(params)
+    stages, data = _stages(df, features, most)
+    data = data.withColumn("__label", F.col(label).cast("double"))
     tree = GBTClassifier(featuresCol="__x", labelCol="__label", predictionCol="__y", **settings)
     if weight:
         tree = tree.setWeightCol(weight)
@@ -78,7 +91,17 @@ def fit_win(df: DataFrame, features: Sequence[str], weight: str | None = None, p
     return _fit(df, "is_win", features, weight, params)
 
 
-def raw_score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+def fit_win_rank(df: DataFrame, features: Sequence[str], weight: str | None = None, params: dict | None = None) -> RankModel:
+    """Ranking model on ``relevance`` (of :func:`race.relevance_label`)."""
+    settings, most = _settings(params)
+    stages, data = _stages(df, features, most)
+    return fit_rank(df, Pipeline(stages=stages).fit(data), "relevance", weight, settings["maxIter"], settings["maxDepth"], settings["stepSize"],
+                    least=settings["minInstancesPerNode"], bins=settings["maxBins"], seed=settings["seed"])
+
+
+def raw_score(model: PipelineModel | RankModel, df: DataFrame, out: str) -> DataFrame:
+    if isinstance(model, RankModel):
+        return model.score(df, out)
     nums = [c[:-3] for s in model.stages if hasattr(s, "getOutputCols") for c in s.getOutputCols() if c.endswith("__n")]
     data = df.withColumns({c: F.col(c).cast("double") for c in nums})
     scored = model.transform(data).withColumn(out, vector_to_array("probability")[1])
@@ -117,23 +140,29 @@ def fit_calibrator(scored: DataFrame, col: str, label: str, method: str = "isoto
 
 @dataclass
 class Models:
-    win: PipelineModel
+    win: PipelineModel | RankModel
     place: PipelineModel
     win_cal: Calibrator | None = None
     place_cal: Calibrator | None = None
 
 
-def train(df: DataFrame, features: Sequence[str], half_life: float | None = None, params: dict | None = None) -> Models:
+def train(df: DataFrame, features: Sequence[str], half_life: float | None = None, params: dict | None = None,
+          objective: str = "binary") -> Models:
     """Both models on the same rows. Fitting reads them many times, so the needed columns are held (and recomputed
-    if an executor is lost) until both fits are done."""
+    if an executor is lost) until both fits are done. ``objective="rank"`` needs ``finishing_position`` as well."""
+    if objective not in ("binary", "rank"):
+        raise ValueError(f"unknown objective {objective!r}")
     weight = None
-    rows = df.select(*features, "is_win", "is_placed", DATE)
+    extra = [] if objective == "binary" else [RACE, ENTRY, "relevance"]
+    labelled = df if objective == "binary" else relevance_label(df)
+    rows = labelled.select(*dict.fromkeys([*features, "is_win", "is_placed", DATE, *extra]))
     if half_life is not None:
         rows = rows.withColumn("__w", decay_weight(F.col(DATE), df.agg(F.max(DATE)).scalar(), half_life))
         weight = "__w"
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Models(fit_win(rows, features, weight, params), fit_place(rows, features, weight, params))
+        win = fit_win if objective == "binary" else fit_win_rank
+        return Models(win(rows, features, weight, params), fit_place(rows, features, weight, params))
     finally:
         rows.unpersist()
 
@@ -163,7 +192,10 @@ def predict(models: Models, df: DataFrame) -> DataFrame:
 
 def save_models(models: Models, base: str, version: str) -> str:
     path = f"{base}/{version}"
-    models.win.write().overwrite().save(f"{path}/win")
+    if isinstance(models.win, RankModel):
+        save_rank(models.win, SparkSession.active(), f"{path}/win_rank")
+    else:
+        models.win.write().overwrite().save(f"{path}/win")
     models.place.write().overwrite().save(f"{path}/place")
     for name, cal in (("win_cal", models.win_cal), ("place_cal", models.place_cal)):
         if cal is not None:
@@ -192,7 +224,8 @@ def load_latest(spark, base: str) -> Models:
             side, method = p.split("_cal_")
             loader = IsotonicRegressionModel if method == "isotonic" else LogisticRegressionModel
             cals[side] = Calibrator(method, loader.load(f"{base}/{v}/{p}"))
-    return Models(PipelineModel.load(f"{base}/{v}/win"), PipelineModel.load(f"{base}/{v}/place"),
+    win = load_rank(spark, f"{base}/{v}/win_rank") if "win_rank" in parts[v] else PipelineModel.load(f"{base}/{v}/win")
+    return Models(win, PipelineModel.load(f"{base}/{v}/place"),
                   cals.get("win"), cals.get("place"))
 
 

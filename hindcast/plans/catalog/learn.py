@@ -1,4 +1,4 @@
-"""Model steps. They are iterative, so there is no SQL twin; row counts and tests check them."""
+"""Model steps. The fits are iterative, so they have no SQL twin; row counts and tests check them."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from hindcast.operators import learn as L
 from hindcast.operators.splits import split_by_date
-from hindcast.plans.catalog.base import on_entries
+from hindcast.operators.race import relevance_label
+from hindcast.operators.ranking import gradients
+from hindcast.plans.catalog.base import on_entries, oracle
 
 FEATURES = ["venue", "course_type", "distance", "horse_number", "bracket_number", "weight_carried", "horse_weight", "odds", "popularity"]
 SMALL = {"maxIter": 3, "maxDepth": 3}
 
 
 def _features(e):
-    return e.select(*dict.fromkeys(["race_id", "horse_number", "horse_id", "date", "is_win", "is_placed", *FEATURES]))
+    return e.select(*dict.fromkeys(["race_id", "horse_number", "horse_id", "date", "is_win", "is_placed", "finishing_position", *FEATURES]))
 
 
 def _fitted(e, half_life=None):
@@ -33,6 +35,29 @@ def _(e):
     return L.predict(models, test).select("race_id", "horse_number", "win_prob", "predicted_rank")
 
 
+@on_entries("rank_gradients", oracle("""
+SELECT m.race_id, m.horse_number, coalesce(l, 0) AS gradient, coalesce(h, 0) AS curvature
+FROM m LEFT JOIN (
+  SELECT race_id, horse_number, sum(sign * rho * change) AS l, sum(rho * (1 - rho) * change) AS h
+  FROM (SELECT a.race_id, a.horse_number, sign(a.g - b.g) AS sign, 1 / (1 + exp(sign(a.g - b.g) * (a.s - b.s))) AS rho,
+               abs((a.g - b.g) * (a.d - b.d)) / a.best AS change
+        FROM m a JOIN m b ON a.race_id = b.race_id AND a.g <> b.g) GROUP BY race_id, horse_number) USING (race_id, horse_number)""", """
+placed AS (SELECT race_id, horse_number, CAST(max(finishing_position) OVER (PARTITION BY race_id) - finishing_position AS DOUBLE) AS g, win_prob_b AS s,
+  row_number() OVER (PARTITION BY race_id ORDER BY win_prob_b DESC, horse_number) - 1 AS r FROM e)""", """
+m AS (SELECT *, 1 / log2(r + 2) AS d,
+  sum(g / log2(1 + rank_g)) OVER (PARTITION BY race_id) AS best FROM (
+    SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY g DESC) AS rank_g FROM placed))""", rounds=["gradient", "curvature"]))
+def _(e):
+    return gradients(relevance_label(e), "relevance", "win_prob_b")
+
+
+@on_entries("rank_model", store=True)
+def _(e):
+    train, val, test = split_by_date(_features(e))
+    models = L.train(train, FEATURES, 1095.0, {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}, "rank")
+    return L.predict(models, test).select("race_id", "horse_number", "win_prob", "predicted_rank")
+
+
 for _method, _name in (("isotonic", "isotonic_calibrate"), ("sigmoid", "platt_calibrate")):
     def _calibrated(e, method=_method):
         models, val, test = _fitted(e)
