@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -12,11 +13,14 @@ from hindcast.operators import explore as N
 from hindcast.operators import quality as Q
 from hindcast.operators import vectors as VX
 from hindcast.plans import entries as en
-from hindcast.plans.catalog.base import on_entries, oracle, register
+from hindcast.plans.catalog.base import ORACLES, on_entries, oracle, register
 from hindcast.plans.catalog.clean import RACES, RAW
 from hindcast.plans.catalog.history import CUT, KEYS, O, PRIOR, daily_sql, history_upcoming
 from hindcast.plans.oracle_base import PAYOFFS, POP_TIER
+from hindcast.session import ensure_checkpoint_dir, stored
 from hindcast.sources import store
+from hindcast.sources.buckets import BucketedTable
+from hindcast.streaming.odds import upsert_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -296,6 +300,41 @@ def _(spark, d):
     return store.upsert(half(F.col("ts") < mid), half(F.col("ts") >= mid), "user_id")
 
 
+def _fresh(spark, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+@register("upsert_buckets", ORACLES["upsert"])
+def _(spark, d):
+    """The stored half is written in buckets, and the buckets of the other half's users are replaced."""
+    ev = en.table(spark, d, EV)
+    half = lambda c: ev.filter(c).groupBy("user_id").agg(
+        F.max("value").alias("value"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("created_at"))
+    mid = F.expr(MID)
+    old = half(F.col("ts") < mid)
+    table = BucketedTable(_fresh(spark, "upsert"), ("user_id",), old.schema, 16)
+    table.upsert(old)
+    table.upsert(half(F.col("ts") >= mid))
+    return table.read(spark)
+
+
+@register("stream_latest", """
+SELECT user_id, event_type, arg_max(value, {ts: ts, v: value}) AS value, max(ts) AS ts, min(created_at) AS created_at
+FROM (SELECT *, ts AS created_at FROM events) GROUP BY 1, 2""")
+def _(spark, d):
+    """All events as a stream of six files, each with every sixth day, so that most rows come late."""
+    ev = _events(spark, d)
+    source = _fresh(spark, "stream")
+    for k in range(6):
+        ev.filter(F.pmod(F.coalesce(F.dayofmonth("ts"), F.lit(0)), F.lit(6)) == k).coalesce(1).write.mode("append").parquet(source)
+    table = BucketedTable(_fresh(spark, "latest"), ("user_id", "event_type"), ev.schema, 16)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    upsert_stream(stream, table, _fresh(spark, "offsets"), "ts", "value").awaitTermination()
+    return table.read(spark)
+
+
 @on_entries("replace_children", oracle("""
 SELECT race_id, bet_type, combination, payout FROM pay WHERE race_id NOT IN (SELECT race_id FROM up)
 UNION ALL SELECT race_id, bet_type, combination, '0' FROM pay WHERE race_id IN (SELECT race_id FROM up) AND bet_type = '単勝'""", CUT, PAYOFFS))
@@ -306,6 +345,18 @@ def _(e):
     return store.replace_children(pays, new)
 
 
+@register("replace_children_buckets", ORACLES["replace_children"])
+def _(spark, d):
+    e = stored(en.entries(spark, d))
+    pays = en.payoffs(e)
+    _, up = history_upcoming(e)
+    new = store.load_payoffs(pays, up.select("race_id").distinct()).filter(F.col("bet_type") == S.WIN).withColumn("payout", F.lit("0"))
+    table = BucketedTable(_fresh(spark, "children"), ("race_id",), pays.schema, 16)
+    table.replace_children(pays)
+    table.replace_children(new)
+    return table.read(spark)
+
+
 @on_entries("load_payoffs", oracle("SELECT race_id, bet_type, combination, payout FROM pay WHERE race_id IN (SELECT race_id FROM up)", CUT, PAYOFFS))
 def _(e):
     return store.load_payoffs(en.payoffs(e), history_upcoming(e)[1])

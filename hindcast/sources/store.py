@@ -111,13 +111,17 @@ def replace_children(target: DataFrame, new: DataFrame, parent: str = RACE) -> D
 
 def upsert_latest(target: DataFrame, updates: DataFrame, keys: Sequence[str] = (RACE, ENTRY), ts: str = "scraped_at",
                   value: str = "win_odds") -> DataFrame:
-    """Latest value per key by time; unparsable text becomes null, ``created_at`` of the first row survives."""
+    """Latest value per key by time; unparsable text becomes null, the earliest ``created_at`` survives. The order in which rows
+    come, in one batch or several, doesn't matter."""
     cols = target.columns
     dtype = dict(target.dtypes)[value]
     fresh = updates.withColumn(value, to_number(value).cast(dtype)).select(*cols)
-    both = target.unionByName(fresh)
-    first = [c for c in ("created_at",) if c in cols]
-    return _newest_per_key(both, list(keys), [F.col(ts), F.col(value)], first).select(*cols)
+    rest = [c for c in cols if c not in keys and c != "created_at"]
+    aggs = [F.max_by(F.struct(*rest), F.struct(ts, value)).alias("new")]
+    if "created_at" in cols:
+        aggs.append(F.min("created_at").alias("created_at"))
+    out = target.unionByName(fresh).groupBy(*keys).agg(*aggs)
+    return out.select(*[F.col(f"new.{c}") if c in rest else F.col(c) for c in cols])
 
 
 def with_raw_json(df: DataFrame, out: str = "raw_data") -> DataFrame:

@@ -1,47 +1,28 @@
 """Latest odds per runner, from a stream of snapshots.
 
-Each micro-batch is reduced to one row per key and merged into a new snapshot of the table with the batch operator.
-The snapshot of a batch is named by its id, so a replayed batch writes the same folder again and nothing is doubled.
+Each micro-batch is reduced to one row per key and merged into the buckets of its keys; the files of all other buckets stay
+untouched. The latest value by time does not depend on the order of arrival, so late rows lose, and a batch that is
+replayed after a failure changes nothing that it wrote before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hindcast.sources.store import upsert_latest
-
-
-def latest_snapshot(spark: SparkSession, base: str, before: int | None = None) -> tuple[int, str] | None:
-    """Newest finished snapshot folder, optionally older than a batch; only folders with a success mark count."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            no = int(name.split("=")[1])
-            if before is None or no < before:
-                found.append(no)
-    return (max(found), f"{base}/batch={max(found)}") if found else None
+from hindcast.sources.buckets import BucketedTable
 
 
-def upsert_stream(updates: DataFrame, base: str, checkpoint: str, keys: Sequence[str] = ("race_id", "horse_number"),
-                  ts: str = "scraped_at", value: str = "win_odds", value_type: str = "decimal(8,1)") -> StreamingQuery:
-    """Start the stream; it handles what is available and stops. Late rows lose by their time stamp."""
+def upsert_stream(updates: DataFrame, table: BucketedTable, checkpoint: str, ts: str = "scraped_at", value: str = "win_odds") -> StreamingQuery:
+    """Start the stream; it handles what is available and stops."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        typed = batch.withColumn(value, F.col(value).cast("string"))
-        old = latest_snapshot(spark, base, batch_id)
-        shape = batch.withColumn(value, F.lit(None).cast(value_type)).filter(F.lit(False))
-        target = spark.read.parquet(old[1]) if old else shape
-        upsert_latest(target, typed, keys, ts, value).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        batch = batch.persist()  # read for its buckets and for the merge
+        try:
+            table.upsert_latest(batch.withColumn(value, F.col(value).cast("string")), ts, value)
+        finally:
+            batch.unpersist()
 
     return (updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

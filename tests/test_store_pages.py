@@ -1,18 +1,21 @@
 import json
+import pathlib
 from datetime import datetime
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindcast import schema as S
 from hindcast.operators import quality as Q
 from hindcast.operators import vectors as VX
 from hindcast.sources import pages as X
 from hindcast.sources import store
+from hindcast.sources.buckets import BucketedTable
 from hindcast.streaming import odds as stream
 
-T0, T1, T2 = (datetime(2024, 1, 1, h) for h in (1, 2, 3))
+T0, T1, T2, T3 = (datetime(2024, 1, 1, h) for h in (1, 2, 3, 4))
 
 
 def test_upsert_keeps_created_at(spark):
@@ -46,17 +49,65 @@ def test_latest_odds(spark):
     assert two.filter("created_at = timestamp'2024-01-01 01:00:00'").count() == 0
 
 
+ODDS = "race_id string, horse_number string, win_odds string, scraped_at timestamp, created_at timestamp"
+
+
+def files_of(path):
+    return {str(p): (p.stat().st_mtime_ns, p.read_bytes()) for p in pathlib.Path(path).rglob("*.parquet")}
+
+
 def test_odds_stream(spark, tmp_path):
+    """Three batches with late and replayed rows; files of buckets without updates stay as they are."""
     src, base, ckpt = (str(tmp_path / n) for n in ("src", "base", "ckpt"))
-    odds_rows(spark, [("a", "1", "2.5", T0, T0), ("a", "1", "3.5", T1, T1)]).write.parquet(src)
-    def run():
-        s = spark.readStream.schema("race_id string, horse_number string, win_odds string, scraped_at timestamp, created_at timestamp").parquet(src)
-        stream.upsert_stream(s, base, ckpt).awaitTermination()
-        return stream.latest_snapshot(spark, base)[1]
-    assert [float(r.win_odds) for r in spark.read.parquet(run()).collect()] == [3.5]
+    table = BucketedTable(base, ("race_id", "horse_number"), S.PRE_RACE_ODDS, 32)
+    odds_rows(spark, [(f"r{i}", "1", str(i), T0, T0) for i in range(200)] + [("a", "1", "2.5", T0, T0), ("a", "1", "3.5", T1, T1)]).write.parquet(src)
+
+    def run(checkpoint=ckpt):
+        stream.upsert_stream(spark.readStream.schema(ODDS).parquet(src), table, checkpoint).awaitTermination()
+        return {(r.race_id, r.horse_number): (r.win_odds and float(r.win_odds), r.created_at) for r in table.read(spark).collect()}
+
+    got = run()
+    assert len(got) == 201 and got["a", "1"] == (3.5, T0) and got["r7", "1"] == (7.0, T0)
+    before = files_of(base)
     odds_rows(spark, [("a", "1", "1.1", T0, T2), ("a", "2", "7.0", T2, T2)]).write.mode("append").parquet(src)
-    got = spark.read.parquet(run())
-    assert sorted((r.horse_number, float(r.win_odds)) for r in got.collect()) == [("1", 3.5), ("2", 7.0)]
+    got = run()
+    assert got["a", "1"] == (3.5, T0) and got["a", "2"] == (7.0, T2) and len(got) == 202
+    after = files_of(base)
+    changed = {p for p in before.keys() | after.keys() if before.get(p) != after.get(p)}
+    assert 2 <= len(changed) <= 4 and len({p.split("bucket=")[1].split("/")[0] for p in changed}) <= 2
+    odds_rows(spark, [("a", "2", "--", T3, T3)]).write.mode("append").parquet(src)
+    got = run()
+    assert got["a", "2"] == (None, T2) and len(got) == 202
+    assert run(ckpt + "-lost") == got  # everything is replayed
+    assert len({p.split("/part-")[0] for p in files_of(base)}) == len(files_of(base))  # one file a bucket, nothing left behind
+
+
+def test_bucketed_tables(spark, tmp_path):
+    cols = T.StructType.fromDDL("race_id long, race_name string, created_at timestamp")
+    table = BucketedTable(str(tmp_path / "t"), ("race_id",), cols, 8)
+    assert table.read(spark).count() == 0 and table.upsert(spark.createDataFrame([], cols)) == []
+    table.upsert(spark.createDataFrame([(i, f"n{i}", T0) for i in range(100)] + [(None, "none", T0)], cols))
+    new = spark.createDataFrame([(3, "new", T1), (500, "more", T1), (None, "other", T1)], cols)
+    touched = table.touched(new)
+    assert len(touched) <= 3
+    part = table.part(spark, touched)
+    assert {f.split("bucket=")[1].split("/")[0] for f in part.inputFiles()} == {str(b) for b in touched}
+    assert "PartitionFilters: [bucket" in part._jdf.queryExecution().toString() and table.upsert(new) == touched
+    want = store.upsert(spark.createDataFrame([(i, f"n{i}", T0) for i in range(100)] + [(None, "none", T0)], cols), new, "race_id")
+    assert rows(table.read(spark)) == rows(want)
+    table.upsert(new)
+    assert rows(table.read(spark)) == rows(want)
+
+
+def test_bucketed_children(spark, tmp_path):
+    cols = T.StructType.fromDDL("race_id string, combination string")
+    table = BucketedTable(str(tmp_path / "t"), ("race_id",), cols, 8)
+    table.replace_children(spark.createDataFrame([(f"r{i % 20}", str(i)) for i in range(60)], cols))
+    table.replace_children(spark.createDataFrame([("r1", "9"), ("r50", "x"), ("r50", "x")], cols))
+    want = [(f"r{i % 20}", str(i)) for i in range(60) if i % 20 != 1] + [("r1", "9"), ("r50", "x"), ("r50", "x")]
+    assert rows(table.read(spark)) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        BucketedTable("x", ("a", "b"), cols).replace_children(table.read(spark))
 
 
 def test_keys_months_and_runs(spark, tmp_path):
