@@ -74,13 +74,18 @@ def with_payout(bets: DataFrame, pays: DataFrame, bet: str | Column, combo: str,
     return bets.withColumn("__bet", bet).join(p, [RACE, "__bet", combo], "left").drop("__bet")
 
 
-def bet_records(entries: DataFrame, preds: DataFrame, payoffs: DataFrame, bet: str,
-                thresholds: Sequence[float] = tuple(S.EV_THRESHOLDS), prob: str = "win_prob") -> DataFrame:
-    """One row per bet and cell ``(threshold, tier)``: the race counts when its best runner passes the gate."""
+def gated_bets(entries: DataFrame, preds: DataFrame, payoffs: DataFrame, bet: str, prob: str = "win_prob") -> DataFrame:
+    """One row per race that has enough runners: ``ev`` and ``tier0`` of its best runner, and the payout of the best two or three."""
     n = BET_SIZE[bet]
     races = pick_races(merged(entries, preds, prob), (n,), prob).filter(F.col(f"combo{n}").isNotNull())
-    bets = with_payout(races.select(RACE, f"combo{n}", F.col("top.ev").alias("ev"), F.col("top.tier").alias("tier0")),
+    return with_payout(races.select(RACE, f"combo{n}", F.col("top.ev").alias("ev"), F.col("top.tier").alias("tier0")),
                        payoff_map(payoffs), bet, f"combo{n}")
+
+
+def bet_records(entries: DataFrame, preds: DataFrame, payoffs: DataFrame, bet: str,
+                thresholds: Sequence[float] = tuple(S.EV_THRESHOLDS), prob: str = "win_prob") -> DataFrame:
+    """One row per bet and cell ``(threshold, tier)``: the race counts when its best runner passes the gate."""
+    bets = gated_bets(entries, preds, payoffs, bet, prob)
     passed = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("ev") > t)
     return (
         bets.withColumn("threshold", F.explode(passed))

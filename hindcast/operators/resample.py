@@ -1,10 +1,11 @@
 """Bootstrap intervals by reproducible resampling.
 
 ``method='poisson'`` (default) gives every unit an independent Poisson(1) count per replicate. The count is a
-function of the unit key and the replicate, so it needs no row numbers and no random state: each task multiplies a
-matrix of counts with the units' values, and only ``tasks x cells x replicates`` rows move.
-``method='draws'`` draws exactly n units per replicate by a hashed index; it moves ``n x replicates`` rows and is
-meant for small cells.
+function of the unit key and the replicate, so it needs no row numbers and no random state: each lane of units multiplies a
+matrix of counts with the units' values, and only ``LANES x cells x replicates`` rows move, whatever the number of partitions.
+``method='draws'`` draws exactly n bets per replicate: the bets of a cell are counted by return, and the n draws are split
+down a tree (lanes of returns, then the returns of a lane) by conditional binomials, so that equal returns are one entry
+however many bets share them, and no bet needs an index.
 
 The counts come from a cubic polynomial over a prime field whose coefficients are taken from the md5 of the unit key:
 replicates of a unit are four-wise independent and units are independent. Integer arithmetic only, so any engine
@@ -14,6 +15,7 @@ gets the same counts.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from hashlib import md5
 from math import exp, factorial
 
 import numpy as np
@@ -26,7 +28,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from hindcast import schema as S
 from hindcast.operators.bets import bet_records, fill_grid, merged
 from hindcast.operators.evaluate import flat_stats, stat_exprs
-from hindcast.operators.keyed import dense_index
 from hindcast.operators.race import ENTRY, RACE
 
 PRIME = 268435399  # largest prime below 2**28: seven hex digits per coefficient
@@ -64,37 +65,68 @@ def replicates(df: DataFrame, unit: Sequence[str], n_boot: int, seed: int) -> Da
 
 #: Units whose counts for all replicates are held at a time.
 BLOCK_UNITS = 32
+#: Tasks that the units are spread over; each hands on one row for each cell and replicate.
+LANES = 32
+
+
+#: Replicates whose counts are made at a time, so that they stay in a core's cache.
+BLOCK_BOOTS = 1024
+
+
+class UnitCounts:
+    """Counts of up to ``BLOCK_UNITS`` units in a range of replicates, in buffers that are used again."""
+
+    def __init__(self) -> None:
+        shape = (BLOCK_UNITS, BLOCK_BOOTS)
+        self.x, self.whole, self.over, self.n = np.empty(shape), np.empty(shape), np.empty(shape, bool), np.empty(shape, np.int8)
+
+    def of(self, h: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Rows for the units with coefficients ``h`` (as doubles), columns for the replicates ``first`` to ``last`` - 1.
+
+        All products stay below 2**53, so doubles are exact; a quotient that is rounded the wrong way leaves the value one
+        modulus off, which the last step mends.
+        """
+        part = (slice(len(h)), slice(last - first))
+        x, whole, over, n = self.x[part], self.whole[part], self.over[part], self.n[part]
+        t = np.arange(first + 1, last + 1, dtype=np.float64)
+        x[:] = h[:, 3:]
+        for k in (2, 1, 0):
+            x *= t
+            x += h[:, k:k + 1]
+            np.multiply(x, 1.0 / PRIME, out=whole)
+            np.floor(whole, out=whole)
+            whole *= PRIME
+            x -= whole
+        np.less(x, 0, out=over)
+        x += np.multiply(over, float(PRIME), out=whole)
+        np.greater_equal(x, PRIME, out=over)
+        x -= np.multiply(over, float(PRIME), out=whole)
+        n[:] = 0
+        for cut in POISSON_CUTS:
+            n += np.greater_equal(x, cut, out=over)
+        whole[:] = n
+        return whole
 
 
 def replicate_sums(df: DataFrame, unit: Sequence[str], values: Mapping[str, Column], n_boot: int, seed: int,
                    cells: Sequence[str] = ()) -> DataFrame:
     """For each cell and replicate ``b`` the sums of ``values`` over the units, each times its count.
 
-    A task multiplies blocks of units (counts x values) and adds up per cell, so that it hands on one row for each cell and
-    replicate, however many units it has. A replicate that draws no unit has sums of 0; a null value counts as 0.
+    The task of a lane multiplies blocks of units (counts x values) and adds up per cell, so that it hands on one row for each
+    cell and replicate, however many units it has. A replicate that draws no unit has sums of 0; a null value counts as 0.
     """
     cells, names = list(cells), list(values)
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(spread, F.xxhash64(*unit)).select(
+    rows = df.repartition(LANES, F.xxhash64(*unit)).select(
         *cells, _coefficients(seed, unit).alias("__h"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in values.items()])
     rows = rows.select(*cells, *[F.col("__h")[f"h{i}"].alias(f"__h{i}") for i in range(4)], *names)
     kept = [f for f in rows.schema.fields if f.name in cells]
     schema = T.StructType([*kept, T.StructField("b", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
 
-    def counts(h: np.ndarray) -> np.ndarray:
-        t = np.arange(1, n_boot + 1, dtype=np.int64)
-        x = (h[:, 3:] * t + h[:, 2:3]) % PRIME
-        x = (x * t + h[:, 1:2]) % PRIME
-        x = ((x * t + h[:, :1]) % PRIME).astype(np.int32)
-        out = np.zeros(x.shape, np.uint8)
-        for cut in POISSON_CUTS:
-            out += x >= cut
-        return out.astype(np.float64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        counts = UnitCounts()
         for batch in batches:
-            h = np.stack([batch.column(f"__h{i}").to_numpy() for i in range(4)], axis=1).astype(np.int64)
+            h = np.stack([batch.column(f"__h{i}").to_numpy() for i in range(4)], axis=1).astype(np.float64)
             v = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
             of: dict[tuple, list[int]] = {}
             for i, cell in enumerate(zip(*[batch.column(c).to_pylist() for c in cells]) if cells else [()] * batch.num_rows):
@@ -103,7 +135,8 @@ def replicate_sums(df: DataFrame, unit: Sequence[str], values: Mapping[str, Colu
                 total = sums.setdefault(cell, np.zeros((n_boot, len(names))))
                 for k in range(0, len(own), BLOCK_UNITS):
                     part = own[k:k + BLOCK_UNITS]
-                    total += counts(h[part]).T @ v[part]
+                    for b in range(0, n_boot, BLOCK_BOOTS):
+                        total[b:b + BLOCK_BOOTS] += counts.of(h[part], b, min(n_boot, b + BLOCK_BOOTS)).T @ v[part]
         for cell, total in sums.items():
             cols = [pa.array([x] * n_boot, to_arrow_type(f.dataType)) for x, f in zip(cell, kept)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(n_boot)), *[pa.array(total[:, j].copy()) for j in range(len(names))]],
@@ -132,7 +165,8 @@ def bootstrap_ci(bets: DataFrame, unit: Sequence[str], cells: Sequence[str] = ()
                  method: str = "poisson") -> DataFrame:
     """Recovery per cell with its interval: point_estimate, n_bets, ci_lower, ci_upper and the two flags.
 
-    ``unit`` names the bet; bets of one unit are drawn together. A missing price counts as a lost stake.
+    ``unit`` names the bet; bets of one unit are drawn together (by ``draws`` each on its own). A missing price counts as a
+    lost stake.
     """
     cells = list(cells)
     x = bets.select(*cells, *[c for c in unit if c not in cells],
@@ -144,62 +178,75 @@ def bootstrap_ci(bets: DataFrame, unit: Sequence[str], cells: Sequence[str] = ()
         r = replicate_sums(x, unit, {"s": F.col("__x"), "n": F.lit(1)}, n_boot, seed, cells)
         r = r.filter("n > 0").withColumn("rate", F.col("s") / F.col("n"))
     else:
-        r = _draws(x, unit, cells, n_boot, seed)
+        r = drawn_sums(x, cells, n_boot, seed).withColumn("rate", F.col("s") / F.col("n"))
     ci = _interval(r, cells, "rate", level)
     joined = point.join(ci, cells, "left") if cells else point.withColumn("q", ci.select(F.struct("ci_lower", "ci_upper")).scalar()
                                                                         ).select("n_bets", "point_estimate", "q.*")
     return _flags(joined, level)
 
 
-#: Bets of all cells together whose returns are sent to every task; more are joined.
-DRAWS_IN_TASKS = 2_000_000
+#: Replicates that are drawn at a time, and entries that one multinomial draw is split over.
+DRAW_BLOCK, DRAW_WIDTH = 500, 1024
 
 
-def _draws(x: DataFrame, unit: Sequence[str], cells: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    whole = [*cells] or ["__all"]
-    base = x if cells else x.withColumn("__all", F.lit(0))
-    sizes = base.groupBy(*whole).agg(F.count(F.lit(1)).alias("n"))
-    if (sizes.agg(F.sum("n")).first()[0] or 0) <= DRAWS_IN_TASKS:
-        return _drawn_in_tasks(base, unit, whole, sizes, n_boot, seed).drop("__all")
-    indexed = dense_index(base, whole, list(unit))
-    draws = (
-        indexed.select(*whole, "idx").join(sizes, whole)
-        .withColumn("__h", _coefficients(seed, [*whole, "idx"]))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("pick", 1 + F.floor(_uniform(F.col("__h"), F.col("b")) * F.col("n") / F.lit(PRIME)))
-    )
-    hit = draws.select(*whole, "b", F.col("pick").alias("idx")).join(indexed.select(*whole, "idx", "__x"), [*whole, "idx"])
-    return hit.groupBy(*whole, "b").agg(F.avg("__x").alias("rate")).drop("__all")
-
-
-def _drawn_in_tasks(base: DataFrame, unit: Sequence[str], whole: list[str], sizes: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """The draws with the returns of all cells at hand in every task; a task hands on one row for each cell and replicate."""
-    rows = base.select(*whole, *[c for c in unit if c not in whole], "__x").orderBy(*whole, *unit).select(*whole, "__x").toArrow()
-    returns: dict[tuple, list[float]] = {}
-    for cell, v in zip(zip(*[rows.column(c).to_pylist() for c in whole]), rows.column("__x").to_pylist()):
-        returns.setdefault(cell, []).append(v)
-    shared = base.sparkSession.sparkContext.broadcast({c: np.array(v, dtype=np.float64) for c, v in returns.items()})
-    spread = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = sizes.select(*whole, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("idx")).repartition(spread, *whole, "idx")
-    draws = draws.select(*whole, _coefficients(seed, [*whole, "idx"]).alias("h")).select(*whole, *[F.col("h")[f"h{i}"].alias(f"h{i}") for i in range(4)])
-    kept = [f for f in draws.schema.fields if f.name in whole]
+def _draw(rng: np.random.Generator, totals: np.ndarray, weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of ``totals`` the sum of so many values, drawn in proportion to their integer weights."""
+    if len(weights) <= DRAW_WIDTH:
+        return rng.multinomial(totals, weights / weights.sum()) @ values
+    cuts = np.arange(0, len(weights), -(-len(weights) // DRAW_WIDTH))
+    parts = np.add.reduceat(weights, cuts)
+    each = rng.multinomial(totals, parts / parts.sum())
+    ends = np.append(cuts[1:], len(weights))
+    return sum(_draw(rng, each[:, k], weights[a:b], values[a:b]) for k, (a, b) in enumerate(zip(cuts, ends, strict=True)))
+
+
+def _generator(seed: int, *key) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(md5("|".join(map(str, (seed, *key))).encode()).digest(), "little"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        t = np.arange(1, n_boot + 1, dtype=np.int64)
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in whole]
-            for cell, h3, h2, h1, h0 in zip(zip(*cols), *[batch.column(f"h{i}").to_pylist() for i in (3, 2, 1, 0)]):
-                own = shared.value[cell]
-                u = (((h3 * t + h2) % PRIME * t + h1) % PRIME * t + h0) % PRIME
-                sums.setdefault(cell, np.zeros(n_boot)).__iadd__(own[u * len(own) // PRIME])
-        for cell, total in sums.items():
-            keys = [pa.array([x] * n_boot, to_arrow_type(f.dataType)) for x, f in zip(cell, kept)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(n_boot)), pa.array(total)], names=[*whole, "b", "s"])
 
-    schema = T.StructType([*kept, T.StructField("b", T.LongType()), T.StructField("s", T.DoubleType())])
-    drawn = draws.mapInArrow(run, schema).groupBy(*whole, "b").agg(F.sum("s").alias("s"))
-    return drawn.join(sizes, whole).select(*whole, "b", (F.col("s") / F.col("n")).alias("rate"))
+def drawn_sums(x: DataFrame, cells: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """For each cell and replicate ``b`` the sum ``s`` of the returns ``__x`` of exactly ``n`` draws with replacement from its n bets.
+
+    Bets are counted by return first, map-side combined. A task then splits the n draws of a block of replicates over the
+    lanes of returns, and the task of a lane splits its share over the lane's returns. What is drawn depends on the cell, the
+    lane, the block and the seed, not on the partitions.
+    """
+    whole = [*cells] or ["__all"]
+    base = x if cells else x.withColumn("__all", F.lit(0))
+    counted = base.groupBy(*whole, "__x").agg(F.count(F.lit(1)).alias("m")).withColumn("lane", F.pmod(F.xxhash64("__x"), F.lit(LANES)).cast("int"))
+    keys = [base.schema[c] for c in whole]
+    sizes = counted.groupBy(*whole, "lane").agg(F.sum("m").alias("m"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAW_BLOCK))).alias("block")
+    split_to = T.StructType([*keys, *[T.StructField(c, T.IntegerType()) for c in ("lane", "block")], T.StructField("draws", T.ArrayType(T.LongType()))])
+
+    def split(group):
+        group = group.sort_values("lane")
+        first = group.iloc[0]
+        rng = _generator(seed, *[first[c] for c in whole], "block", first["block"])
+        total, held = int(group["m"].sum()), min(DRAW_BLOCK, n_boot - DRAW_BLOCK * int(first["block"]))
+        each = rng.multinomial(np.full(held, total), group["m"].to_numpy() / total)
+        return group[[*whole, "lane", "block"]].assign(draws=list(each.T))
+
+    draws = sizes.select(*whole, "lane", "m", blocks).groupBy(*whole, "block").applyInPandas(split, split_to)
+    sum_to = T.StructType([*keys, T.StructField("b", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def draw(values, shares):
+        import pandas as pd
+        values = values.sort_values("__x")
+        weights, returns, out = values["m"].to_numpy(), values["__x"].to_numpy(), []
+        key = [values.iloc[0][c] for c in whole]
+        for block, own in zip(shares["block"].tolist(), shares["draws"], strict=True):
+            own = np.asarray(own, dtype=np.int64)
+            s = _draw(_generator(seed, *key, "lane", values.iloc[0]["lane"], block), own, weights, returns)
+            out.append(pd.DataFrame({"b": block * DRAW_BLOCK + np.arange(len(own)), "s": s, "n": own}))
+        done = pd.concat(out, ignore_index=True)
+        for c, v in zip(whole, key, strict=True):
+            done[c] = [v] * len(done)
+        return done[[*whole, "b", "s", "n"]]
+
+    by_lane = [*whole, "lane"]
+    sums = counted.groupBy(*by_lane).cogroup(draws.groupBy(*by_lane)).applyInPandas(draw, sum_to)
+    return sums.groupBy(*whole, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).drop("__all")
 
 
 GRID_AXES = {"tier": [S.ALL_TIER, *S.POP_TIERS]}
@@ -211,17 +258,16 @@ def _grid_ci(ci: DataFrame, thresholds: Sequence[float], level: float) -> DataFr
     return _flags(full, level)
 
 
-def ev_grid_ci(entries: DataFrame, preds: DataFrame, thresholds: Sequence[float] = tuple(S.EV_THRESHOLDS),
-               n_boot: int = 10_000, level: float = 0.95, seed: int = 42, prob: str = "win_prob") -> DataFrame:
-    """Intervals for every cell of the threshold x tier grid over all entries.
+def grid_ci(bets: DataFrame, unit: Sequence[str], thresholds: Sequence[float], cells: Sequence[str] = (), n_boot: int = 10_000,
+            level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Intervals for every cell of the threshold x tier grid, for each combination of ``cells``, from bets with ``ev``, ``tier`` and
+    return ``x``.
 
-    A row takes part in at most thresholds x 2 cells; these are conditional sums over its replicates, so the rows are
+    A bet takes part in at most thresholds x 2 cells; these are conditional sums over its replicates, so the bets are
     multiplied by the replicates only.
     """
-    p = preds.select(RACE, ENTRY, F.col(prob).alias("win_prob"))
-    m = merged(entries.select(RACE, ENTRY, "is_win", "odds", "popularity"), p)
-    m = m.filter(F.col("ev") > min(thresholds)).select(
-        RACE, ENTRY, "ev", "tier", F.coalesce(F.col("is_win") * F.col("odds"), F.lit(0.0)).alias("x"))
+    cells = list(cells)
+    m = bets.filter(F.col("ev") > min(thresholds)).select(*unit, *cells, "ev", "tier", F.coalesce("x", F.lit(0.0)).alias("x"))
     ths = list(enumerate(thresholds))
 
     terms = {}
@@ -232,17 +278,34 @@ def ev_grid_ci(entries: DataFrame, preds: DataFrame, thresholds: Sequence[float]
     def long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         names = [c for i, _ in ths for c in (f"s{i}", f"n{i}")]
         both = df.withColumn("tier", F.explode(F.array(F.lit(S.ALL_TIER), F.col("tier"))))
-        both = both.groupBy("tier", *keys).agg(*[F.sum(c).alias(c) for c in names])
-        cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"s{i}").alias("s"), F.col(f"n{i}").alias("n"))
-                          for i, t in ths])
-        return both.select("tier", *keys, F.explode(cells).alias("c")).select("tier", *keys, "c.*").filter("n > 0")
-
-    point = long(m.groupBy("tier").agg(*[F.sum(v).alias(n) for n, v in terms.items()]), []).select(
-        "threshold", "tier", F.col("n").alias("n_bets"), (F.col("s") / F.col("n")).alias("point_estimate"))
-    reps = replicate_sums(m, [RACE, ENTRY], terms, n_boot, seed, ["tier"])
+        both = both.groupBy(*cells, "tier", *keys).agg(*[F.sum(c).alias(c) for c in names])
+        each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"s{i}").alias("s"), F.col(f"n{i}").alias("n"))
+                         for i, t in ths])
+        return both.select(*cells, "tier", *keys, F.explode(each).alias("c")).select(*cells, "tier", *keys, "c.*").filter("n > 0")
+
+    at = [*cells, "threshold", "tier"]
+    point = long(m.groupBy(*cells, "tier").agg(*[F.sum(v).alias(n) for n, v in terms.items()]), []).select(
+        *at, F.col("n").alias("n_bets"), (F.col("s") / F.col("n")).alias("point_estimate"))
+    reps = replicate_sums(m, unit, terms, n_boot, seed, [*cells, "tier"])
     rates = long(reps, ["b"]).withColumn("rate", F.col("s") / F.col("n"))
-    ci = _interval(rates, ["threshold", "tier"], "rate", level)
-    return _grid_ci(point.join(ci, ["threshold", "tier"], "left"), thresholds, level)
+    return point.join(_interval(rates, at, "rate", level), at, "left")
+
+
+def ev_grid_ci(entries: DataFrame, preds: DataFrame, thresholds: Sequence[float] = tuple(S.EV_THRESHOLDS),
+               n_boot: int = 10_000, level: float = 0.95, seed: int = 42, prob: str = "win_prob") -> DataFrame:
+    """Intervals for every cell of the threshold x tier grid over all entries."""
+    p = preds.select(RACE, ENTRY, F.col(prob).alias("win_prob"))
+    m = merged(entries.select(RACE, ENTRY, "is_win", "odds", "popularity"), p).withColumn("x", F.col("is_win") * F.col("odds"))
+    return _grid_ci(grid_ci(m, [RACE, ENTRY], thresholds, (), n_boot, level, seed), thresholds, level)
+
+
+def pooled_grid(bets: DataFrame, names: Sequence[str], thresholds: Sequence[float], n_boot: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """The grid of each kind of bet in ``names`` (column ``bet``), over gated bets of one period or of several pooled ones, in one pass
+    over the replicates."""
+    rows = bets.select(RACE, "bet", "ev", F.col("tier0").alias("tier"), (F.col("pay") / 100).alias("x"))
+    ci = grid_ci(rows, [RACE], thresholds, ["bet"], n_boot, level, seed)
+    full = fill_grid(ci, ["bet", "threshold", "tier"], ["n_bets"], bet=list(names), threshold=[float(t) for t in thresholds], **GRID_AXES)
+    return _flags(full, level)
 
 
 def pooled_ci(records: DataFrame, thresholds: Sequence[float] = tuple(S.EV_THRESHOLDS), n_boot: int = 10_000,

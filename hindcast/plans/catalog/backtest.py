@@ -298,19 +298,25 @@ def _(e):
     return R.bootstrap_ci(bets, ["race_id"], hit="is_win", odds="odds", n_boot=N_BOOT)
 
 
-@on_entries("bootstrap_draws", oracle(f"""
-SELECT tier, n_bets, point_estimate, q[1] AS ci_lower, q[2] AS ci_upper, {FLAGS}
-FROM (SELECT tier, count(*) AS n_bets, avg(is_win * odds) AS point_estimate FROM mb WHERE k = 1 GROUP BY tier)
-JOIN (SELECT tier, {QUANT} FROM (
-  SELECT d.tier, b, avg(x.is_win * x.odds) AS rate
-  FROM (SELECT tier, b, 1 + ({UNIFORM} * n) // {P} AS pick FROM (SELECT tier, n, {hash_sql("tier || '|' || idx")} FROM idx), boots) d
-  JOIN idx x ON x.tier = d.tier AND x.idx = d.pick GROUP BY d.tier, b) GROUP BY tier) USING (tier)""",
-    MB, BOOTS, """idx AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY race_id) AS idx, count(*) OVER (PARTITION BY tier) AS n
-                          FROM mb WHERE k = 1)""", rounds=CI))
-def _(e):
+def _top_bets(e):
     from hindcast.operators.race import top1
-    bets = top1(B.merged(*_frames(e))).select("race_id", "tier", "is_win", "odds")
-    return R.bootstrap_ci(bets, ["race_id"], ["tier"], hit="is_win", odds="odds", n_boot=N_BOOT, method="draws")
+    return top1(B.merged(*_frames(e))).select("race_id", "tier", "is_win", "odds")
+
+
+@on_entries("bootstrap_draws")
+def _(e):
+    return R.bootstrap_ci(_top_bets(e), ["race_id"], ["tier"], hit="is_win", odds="odds", n_boot=N_BOOT, method="draws")
+
+
+@on_entries("draw_counts", oracle(f"""
+SELECT tier, {N_BOOT}::BIGINT AS replicates, count(*) AS least_draws, count(*) AS most_draws, true AS mean_near FROM mb WHERE k = 1 GROUP BY tier""", MB))
+def _(e):
+    """Each replicate draws as many bets as its cell has, and the mean of the replicates is within four standard errors of the cell's."""
+    x = _top_bets(e).select("tier", F.coalesce(F.col("is_win") * F.col("odds"), F.lit(0.0)).alias("__x"))
+    sums = R.drawn_sums(x, ["tier"], N_BOOT, 42).groupBy("tier").agg(
+        F.count(F.lit(1)).alias("replicates"), F.min("n").alias("least_draws"), F.max("n").alias("most_draws"), F.avg(F.col("s") / F.col("n")).alias("mean"))
+    cell = x.groupBy("tier").agg(F.avg("__x").alias("own"), (F.coalesce(F.stddev_pop("__x"), F.lit(0.0)) / F.sqrt(F.count("__x") * N_BOOT)).alias("se"))
+    return sums.join(cell, "tier").select("tier", "replicates", "least_draws", "most_draws", (F.abs(F.col("mean") - F.col("own")) <= 4 * F.col("se") + 1e-9).alias("mean_near"))
 
 
 @on_entries("ev_grid_ci", oracle(f"""
@@ -343,11 +349,34 @@ for _name, _bet, _combo in (("quinella_ci", S.QUINELLA, "combo2"), ("wide_ci", S
         lambda e, b=_bet: R.combo_ci(*_frames(e), en.payoffs(e), b, n_boot=N_BOOT))
 
 
-@on_entries("pooled_ci", pooled_sql(FOLDS, records_cte(S.QUINELLA, "combo2", "rec0"), """
-rec AS (SELECT r.* FROM rec0 r JOIN (SELECT DISTINCT race_id FROM e JOIN folds ON date BETWEEN d1 AND d2) USING (race_id))"""))
+FINE = [(10 + k) / 10 for k in range(16)]
+THR16 = "thr AS (SELECT CAST(k AS INT) AS threshold_no, (10 + k) / 10::DOUBLE AS threshold FROM range(16) t(k))"
+POOLED = [("quinella", S.QUINELLA, "combo2"), ("wide", S.WIDE, "combo2"), ("trio", S.TRIO, "combo3")]
+
+
+def _gated_sql(name: str, bet: str, combo: str) -> str:
+    return f"""SELECT '{name}' AS bet, pk.race_id, pk.ev, pk.tier0, coalesce(pm.pay / 100, 0) AS ret, (SELECT count(*) FROM thr WHERE pk.ev > threshold) AS band
+  FROM pk LEFT JOIN pm ON pm.race_id = pk.race_id AND bet_type = '{bet}' AND combo = {combo}
+  WHERE {combo} IS NOT NULL AND pk.race_id IN (SELECT race_id FROM e JOIN folds ON date BETWEEN d1 AND d2)"""
+
+
+@on_entries("pooled_ci", oracle(f"""
+SELECT bet, bet_no, threshold, threshold_no, tier, tier_no, coalesce(n_bets, 0) AS n_bets, point_estimate, q[1] AS ci_lower, q[2] AS ci_upper, {FLAGS}
+FROM thr CROSS JOIN l_tier CROSS JOIN l_bet
+LEFT JOIN (SELECT bet, threshold_no, t AS tier, count(*) AS n_bets, avg(ret) AS point_estimate
+           FROM gated JOIN thr ON threshold_no < band, unnest(['全体', tier0]) u(t) GROUP BY ALL) p USING (bet, threshold_no, tier)
+LEFT JOIN (SELECT bet, threshold_no, tier, {QUANT} FROM (
+             SELECT bet, threshold_no, t AS tier, b, sum(s) / sum(n) AS rate
+             FROM (SELECT bet, tier0, band, b, sum(w * ret) AS s, sum(w) AS n FROM gated JOIN wts USING (race_id) GROUP BY ALL)
+             JOIN thr ON threshold_no < band, unnest(['全体', tier0]) u(t) GROUP BY ALL) GROUP BY bet, threshold_no, tier) c USING (bet, threshold_no, tier)""",
+    *BACK, THR16, ALL5, _labels("l_bet", [n for n, _, _ in POOLED]), FOLDS, "gated AS (" + " UNION ALL ".join(_gated_sql(*p) for p in POOLED) + ")",
+    BOOTS, weights_cte("gated", "race_id", "race_id"), rounds=CI), store=True)
 def _(e):
-    tests = D.walk_forward_rows(e.select("race_id", "horse_number", "date", "odds", "popularity"), 5).filter("role = 'test'")
-    return R.pooled_ci(B.bet_records(tests.drop("date", "role"), en.predictions(e, "b"), en.payoffs(e), S.QUINELLA), n_boot=N_BOOT)
+    """The test periods of all folds together: quinella, wide and trio on the fine grid."""
+    tests = D.walk_forward_rows(e.select("race_id", "horse_number", "date", "odds", "popularity"), 5).filter("role = 'test'").drop("date", "role")
+    preds, pays = en.predictions(e, "b"), en.payoffs(e)
+    parts = [B.gated_bets(tests, preds, pays, bet).select("race_id", "ev", "tier0", "pay", F.lit(n).alias("bet")) for n, bet, _ in POOLED]
+    return R.pooled_grid(parts[0].unionByName(parts[1]).unionByName(parts[2]), [n for n, _, _ in POOLED], FINE, N_BOOT)
 
 
 def _stats_cte(name: str, m: str) -> str:
