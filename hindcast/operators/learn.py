@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast import schema as S
-from hindcast.operators.evaluate import METRICS, evaluate, longshot_metrics
+from hindcast.operators.cuts import cut_features, history_cuts, of_cut
+from hindcast.operators.evaluate import METRICS, evaluate, longshot_metrics, nll
 from hindcast.operators.history import DATE, decay_weight
 from hindcast.operators.keyed import dense_index
+from hindcast.operators.permute import shuffled_repeats
 from hindcast.operators.race import ENTRY, RACE, normalise, predicted_rank, relevance_label, softmax
 from hindcast.operators.ranking import RankModel, fit_rank, load_rank, save_rank
 from hindcast.operators.resample import paired_bootstrap
 from hindcast.operators.splits import cut_dates, filter_longshot, split_by_date, truncate_history, walk_forward
+from hindcast.session import stored
 
 DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
             "seed": 7, "maxBins": 64}
@@ -174,15 +177,19 @@ def calibrate(models: Models, held_out: DataFrame, method: str = "isotonic") ->
     return Models(models.win, models.place, win, place)
 
 
-def predict(models: Models, df: DataFrame) -> DataFrame:
-    """Calibrated scores are normalised per race, raw ones pass a softmax; then ranked."""
+def probabilities(models: Models, df: DataFrame) -> DataFrame:
+    """``df`` with ``win_prob`` and ``place_prob``: calibrated scores are normalised per race, raw ones pass a softmax."""
     df = df.drop("win_prob", "place_prob")
     scored = raw_score(models.place, raw_score(models.win, df, "win_prob"), "place_prob")
     if models.win_cal is not None:
         scored = models.place_cal.apply(models.win_cal.apply(scored, "win_prob"), "place_prob")
-        scored = normalise(scored, "win_prob")
-    else:
-        scored = softmax(scored, "win_prob", "win_prob")
+        return normalise(scored, "win_prob")
+    return softmax(scored, "win_prob", "win_prob")
+
+
+def predict(models: Models, df: DataFrame) -> DataFrame:
+    """Probabilities of both models, ranked per race."""
+    scored = probabilities(models, df)
     cols = [RACE, ENTRY, "horse_id", "win_prob", "place_prob", "predicted_rank"]
     cols += [c for c in ("win_odds", "odds", "weight_carried") if c in df.columns]
     return predicted_rank(scored).select(*cols)
@@ -241,42 +248,58 @@ def importance_rank(model: PipelineModel, spark, name: str) -> DataFrame:
 
 
 def shuffled(df: DataFrame, col: str, seed: int) -> DataFrame:
-    """``col`` permuted over all rows: rows in key order receive the values in hash order. Exact and repeatable."""
-    slot = dense_index(df.select(RACE, ENTRY).withColumn("__all", F.lit(0)), ["__all"], [RACE, ENTRY], "__i")
-    values = df.select(RACE, ENTRY, F.col(col).alias("__v")).withColumns(
-        {"__all": F.lit(0), "__o": F.xxhash64(F.lit(seed), RACE, ENTRY)})
-    values = dense_index(values, ["__all"], ["__o", RACE, ENTRY], "__i").select("__i", "__v")
-    moved = slot.select(RACE, ENTRY, "__i").join(values, "__i").select(RACE, ENTRY, "__v")
-    return df.drop(col).join(moved, [RACE, ENTRY]).withColumnRenamed("__v", col)
+    """``col`` permuted over all rows, by a keyed permutation of their index. Exact and repeatable."""
+    rows = stored(dense_index(df.withColumn("__all", F.lit(0)), ["__all"], [RACE, ENTRY], "__i").drop("__all"))
+    return shuffled_repeats(rows, "__i", rows.count(), col, 1, seed).select(*df.columns)
+
+
+def _losses(models: Models, df: DataFrame, by: list[str]) -> DataFrame:
+    """Both log-losses of the rows of ``df``, for each value of ``by``."""
+    scored = probabilities(models, df)
+    return scored.groupBy(*by).agg(F.avg(nll("is_win", "win_prob")).alias("win"), F.avg(nll("is_placed", "place_prob")).alias("place"))
 
 
 def permutation_importance(models: Models, df: DataFrame, features: Sequence[str], n_repeats: int = 20,
                            level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Rise of both log-losses when a feature is shuffled, with an interval over the repeats.
+    """Rise of both log-losses when a feature is dealt anew over all rows, with an interval over the repeats.
 
-    A feature that the models do not use is an error.
+    All repeats of a feature are scored in one pass: the rows once for each repeat, with races told apart by it. A feature
+    that the models do not use is an error.
     """
-    spark = df.sparkSession
-    used = {c[:-3] for m in (models.win, models.place) for s in m.stages if isinstance(s, VectorAssembler) for c in s.getInputCols()}
-    base = evaluate(df, predict(models, df)).first()
-    out = []
+    used = {c[:-3] for m in (models.win, models.place) for s in (m.prepare if isinstance(m, RankModel) else m).stages
+            if isinstance(s, VectorAssembler) for c in s.getInputCols()}
     if unknown := [f for f in features if f not in used or f not in df.columns]:
         raise ValueError(f"the models do not use {unknown}")
-    for feature in features:
-        for i in range(n_repeats):
-            got = evaluate(df, predict(models, shuffled(df, feature, seed * 1000 + i))).first()
-            for side in ("win", "place"):
-                out.append((feature, side, f"{side}_logloss", base[f"{side}_logloss"],
-                            got[f"{side}_logloss"] - base[f"{side}_logloss"]))
-    rows = spark.createDataFrame(out, "feature string, model string, metric string, baseline double, rise double")
+    keep = [c for c in df.columns if c in used or c in (RACE, ENTRY, "is_win", "is_placed")]
+    rows = stored(dense_index(df.select(*keep).withColumn("__all", F.lit(0)), ["__all"], [RACE, ENTRY], "__i").drop("__all"))
+    n = rows.count()
+    base = _losses(models, rows, []).first()
+    parts = []
+    for i, feature in enumerate(features):
+        many = shuffled_repeats(rows, "__i", n, feature, n_repeats, seed * 1000 + i).withColumn(RACE, F.struct("repeat", RACE))
+        parts.append(_losses(models, many, ["repeat"]).select(F.lit(feature).alias("feature"), F.explode(F.array(*[F.struct(
+            F.lit(side).alias("model"), F.lit(base[side]).alias("baseline"), (F.col(side) - base[side]).alias("rise")) for side in ("win", "place")])).alias("r")))
+    each = _union(parts).select("feature", "r.*").withColumn("metric", F.concat("model", F.lit("_logloss")))
     a = (1 - level) / 2
-    q = rows.groupBy("feature", "model", "metric").agg(
-        F.max("baseline").alias("baseline"), F.avg("rise").alias("mean_increase"),
+    q = each.groupBy("feature", "model", "metric").agg(
+        F.max("baseline").alias("baseline"), F.avg("rise").alias("mean_increase"), F.count(F.lit(1)).alias("repeats"),
         F.percentile("rise", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
-    return q.select("feature", "model", "metric", "baseline", "mean_increase", F.col("q")[0].alias("ci_lower"),
+    return q.select("feature", "model", "metric", "repeats", "baseline", "mean_increase", F.col("q")[0].alias("ci_lower"),
                     F.col("q")[1].alias("ci_upper"), (F.col("q")[0] > 0).alias("significant"))
 
 
+def significance_by_fold(df: DataFrame, features: Sequence[str], judged: Sequence[str], n_splits: int = 5, n_repeats: int = 20,
+                         params: dict | None = None, held_out: float = 0.15) -> DataFrame:
+    """Whether each judged feature matters in each walk-forward fold: a row per feature and model, a column per fold."""
+    parts = []
+    for k, tr, te in walk_forward(df, n_splits):
+        fit, _, cal = split_by_date(tr, 0.0, held_out)
+        models = calibrate(train(fit, features, None, params), cal)
+        parts.append(permutation_importance(models, te, judged, n_repeats, seed=k).withColumn("fold", F.lit(k)))
+    rows = _union(parts)
+    return rows.groupBy("feature", "model").pivot("fold", list(range(1, n_splits + 1))).agg(F.first("significant"))
+
+
 # ---- sweeps -------------------------------------------------------------------------------------------------------
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -327,6 +350,22 @@ def sweep_history(df: DataFrame, features_of, features, options=tuple(S.HISTORY_
     return sweep([("all" if y is None else str(y), y) for y in options], run, "years")
 
 
+def sweep_history_at_once(df: DataFrame, features: Sequence[str], options=tuple(S.HISTORY_YEARS), half_life: float | None = 1095.0,
+                          params: dict | None = None) -> DataFrame:
+    """:func:`sweep_history` with every feature computed under each cut, all of them in one run of :func:`cuts.cut_features`."""
+    val_from, test_from = cut_dates(df)
+    cuts = history_cuts(val_from, options)
+    wide = stored(cut_features(df, cuts))
+    d = F.col(DATE)
+
+    def run(cut: str):
+        rows = of_cut(wide, cut, cuts[cut])
+        models = calibrate(train(rows.filter(d < val_from), features, half_life, params), rows.filter((d >= val_from) & (d < test_from)))
+        test = rows.filter(d >= test_from)
+        return evaluate(test, predict(models, test))
+    return sweep([(k, k) for k in cuts], run, "years")
+
+
 def compare_history(df: DataFrame, years_a, years_b, features_of, features, n_boot: int = 10_000, seed: int = 42,
                     params: dict | None = None) -> DataFrame:
     test, a = history_run(df, years_a, features_of, features, params=params)

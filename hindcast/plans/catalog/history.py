@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.tiers import rate_tier
+from hindcast.operators import cuts as K
 from hindcast.operators import history as H
 from hindcast.operators import serving as V
 from hindcast.operators import splits as D
 from hindcast.operators.keyed import Keyed
 from hindcast.operators.race import pace
 from hindcast.plans.catalog.base import on_entries, oracle
+from hindcast.session import stored
 
 KEYS = "race_id, horse_number"
+CUT_DAYS = """
+days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM e)),
+cut AS (SELECT max(CASE WHEN i = CAST(floor(n * (1 - 0.1::DOUBLE - 0.2::DOUBLE)) AS BIGINT) THEN date END) AS val_from,
+               max(CASE WHEN i = CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT) THEN date END) AS test_from FROM days)"""
 O = "ORDER BY date, race_id, horse_id, horse_number"  # noqa: E741
 
 MEASURED = """
@@ -202,12 +211,58 @@ def _(e):
     return H.training_features(e).select("race_id", "horse_number", *_ALL_PICK)
 
 
+# ---- features under history cuts ----------------------------------------------------------------------------------
+
+_CUT_PICK = ["days_since_last_race", "distance_change", "class_change", "course_type_change", "jockey_change", *_ROLL_N, *_COND_N,
+             "jockey_win_rate_venue_cond", "trainer_win_rate_last30", "bracket_distance_avg_finish", "trainer_prior_mounts", "trainer_prior_win_rate",
+             "jockey_prior_mounts", "jockey_prior_win_rate", "owner_prior_mounts", "owner_prior_win_rate", "sire_place_rate_cond",
+             "sire_progeny_mounts_cond", "sire_avg_speed_index_cond"]
+
+
+def _prior_sql(name: str, keys: str, col: str) -> str:
+    """Non-null values and their sum before each day of a key, recomputed for each cut."""
+    return f"""
+{name} AS (SELECT k, {keys}, date, coalesce(sum(n) OVER w, 0) AS n, coalesce(sum(s) OVER w, 0) AS s FROM (
+  SELECT k, {keys}, date, count({col}) AS n, coalesce(sum({col}), 0) AS s FROM c GROUP BY ALL)
+  WINDOW w AS (PARTITION BY k, {keys} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+_PRIORS = [("pt", "trainer_id", "is_win"), ("pj", "jockey_id", "is_win"), ("po", "owner", "is_win"), ("ps", "sire, course_type", "is_placed"),
+           ("pz", "sire, course_type", "race_time_zscore")]
+_OF_CUT = lambda sql, key: sql.replace(f"PARTITION BY {key}", f"PARTITION BY k, {key}")
+
+
+@on_entries("cut_features", oracle(f"""
+SELECT c.k AS years, race_id, horse_number, CAST(date - lag(date) OVER h AS DOUBLE) AS days_since_last_race,
+  CAST(distance - lag(distance) OVER h AS DOUBLE) AS distance_change, class_level - lag(class_level) OVER h AS class_change,
+  CASE WHEN lag(course_type) OVER h IS NOT NULL THEN CAST(course_type <> lag(course_type) OVER h AS DOUBLE) END AS course_type_change,
+  CASE WHEN lag(jockey_id) OVER h IS NOT NULL THEN CAST(jockey_id <> lag(jockey_id) OVER h AS DOUBLE) END AS jockey_change,
+  {_OF_CUT(_ROLL, "horse_id")}, {_OF_CUT(_COND, "horse_id")},
+  avg(is_win) OVER (PARTITION BY k, jockey_id, venue, course_type {O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS jockey_win_rate_venue_cond,
+  avg(is_win) OVER (PARTITION BY k, trainer_id {O} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS trainer_win_rate_last30,
+  avg(finishing_position) OVER (PARTITION BY k, bracket_number, band {O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bracket_distance_avg_finish,
+  CAST(pt.n AS DOUBLE) AS trainer_prior_mounts, pt.s / nullif(CAST(pt.n AS DOUBLE), 0) AS trainer_prior_win_rate,
+  CAST(pj.n AS DOUBLE) AS jockey_prior_mounts, pj.s / nullif(CAST(pj.n AS DOUBLE), 0) AS jockey_prior_win_rate,
+  CAST(po.n AS DOUBLE) AS owner_prior_mounts, po.s / nullif(CAST(po.n AS DOUBLE), 0) AS owner_prior_win_rate,
+  (ps.s + 20 * placed) / (ps.n + 20) AS sire_place_rate_cond, CAST(ps.n AS DOUBLE) AS sire_progeny_mounts_cond, pz.s / (pz.n + 10) AS sire_avg_speed_index_cond
+FROM c JOIN pt USING (k, trainer_id, date) JOIN pj USING (k, jockey_id, date) JOIN po USING (k, owner, date) JOIN ps USING (k, sire, course_type, date)
+JOIN pz USING (k, sire, course_type, date) JOIN (SELECT k, avg(is_placed) AS placed FROM c GROUP BY k) USING (k)
+WINDOW h AS (PARTITION BY k, horse_id {O})""",
+    MEASURED, CUT_DAYS, f"""
+c AS (SELECT k, m.*, {BAND_SQL} AS band FROM m, cut, (VALUES ('2', 2), ('4', 4), ('6', 6), ('8', 8), ('all', NULL)) y(k, years)
+      WHERE years IS NULL OR date >= val_from - CAST(365 * years AS INT))""", *[_prior_sql(*p) for p in _PRIORS],
+    rounds=[c for c in _CUT_PICK if not c.startswith("best_")]), store=True)
+def _(e):
+    """The features of all five history lengths, from one run."""
+    cuts = K.history_cuts(D.cut_dates(e)[0])
+    wide = stored(K.cut_features(e, cuts))
+    parts = [K.of_cut(wide, k, first).select(F.lit(k).alias("years"), "race_id", "horse_number", *_CUT_PICK) for k, first in cuts.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- serving: the test period is upcoming, everything before it is history ----------------------------------------
 
-CUT = """
-days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM e)),
-cut AS (SELECT max(CASE WHEN i = CAST(floor(n * (1 - 0.1::DOUBLE - 0.2::DOUBLE)) AS BIGINT) THEN date END) AS val_from,
-               max(CASE WHEN i = CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT) THEN date END) AS test_from FROM days),
+CUT = f"""{CUT_DAYS},
 hist AS (SELECT * FROM e WHERE date < (SELECT test_from FROM cut)),
 up AS (SELECT * FROM e WHERE date >= (SELECT test_from FROM cut))"""
 

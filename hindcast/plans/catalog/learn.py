@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.operators import learn as L
+from hindcast.operators.keyed import dense_index
+from hindcast.operators.permute import permuted
 from hindcast.operators.splits import split_by_date
 from hindcast.operators.race import relevance_label
 from hindcast.operators.ranking import gradients
@@ -75,7 +77,23 @@ def _(e):
 @on_entries("permutation_importance", store=True)
 def _(e):
     models, val, test = _fitted(e)
-    return L.permutation_importance(L.calibrate(models, val), test, ["popularity", "odds"], n_repeats=2)
+    return L.permutation_importance(L.calibrate(models, val), test, FEATURES)
+
+
+@on_entries("permutations", oracle("""
+SELECT CAST(r AS INT) AS repeat, count(*) AS n_rows, count(*) AS n_places, min(1) AS first_place, count(*) AS last_place FROM e, range(20) t(r) GROUP BY r"""))
+def _(e):
+    """Each of twenty repeats sends the places of all entries onto themselves, one to one."""
+    n = e.count()
+    places = dense_index(e.select("race_id", "horse_number").withColumn("k", F.lit(0)), ["k"], ["race_id", "horse_number"], "i")
+    many = places.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("to", 1 + permuted(F.col("i") - 1, n, 7, F.col("repeat")))
+    return many.groupBy("repeat").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("to").alias("n_places"), F.min("to").cast("int").alias("first_place"),
+                                      F.max("to").alias("last_place"))
+
+
+@on_entries("significance_by_fold", store=True)
+def _(e):
+    return L.significance_by_fold(_features(e), FEATURES, ["popularity", "odds", "weight_carried"], params=SMALL)
 
 
 @on_entries("sweep", store=True)
@@ -90,7 +108,8 @@ def _(e):
 
 @on_entries("sweep_history", store=True)
 def _(e):
-    return L.sweep_history(_features(e), lambda df: df, FEATURES, (2, None), params=SMALL)
+    recomputed = ["days_since_last_race", "avg_finish_last3", "avg_speed_index_last5", "jockey_win_rate_venue_cond", "trainer_prior_win_rate", "sire_place_rate_cond"]
+    return L.sweep_history_at_once(e, [*FEATURES, *recomputed], params=SMALL)
 
 
 @on_entries("compare_history", store=True)
