@@ -1,7 +1,7 @@
 """Personal data: base patterns, and terms that reveal what they protect.
 
 The entities to protect are the values that the base patterns find. A term discloses an entity as far as knowing the term
-tells the entity: with counts over the distinct texts of the whole corpus, the pointwise mutual information of term and entity
+tells the entity: with counts over the distinct texts of the whole corpus (terms are known by 64-bit hashes), the pointwise mutual information of term and entity
 as a share of the entity's information content (Sánchez and Batet, "C-sanitized", 2016). It is 1 for a term that stands with
 that entity alone and 0 for one that is independent of it. One text in common is evidence enough: most entities have no more.
 Terms over ``Limits.generalise`` are replaced by their class, those over ``Limits.remove`` go, wherever they stand in a text
@@ -11,10 +11,10 @@ with that entity.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +31,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-#: More terms than this are not sent to the tasks that count them; all terms are counted then.
-MAX_TERMS = 200_000
-#: Terms that a task counts before it hands the counts on.
+#: Bits of the filter that tells the counting tasks which terms are wanted: 16 MB, whatever the number of terms.
+FILTER_BITS = 27
+#: Words and counts that a task remembers before it starts anew.
 TASK_TERMS = 200_000
 
 
@@ -98,24 +98,28 @@ def terms_outside(text: str, spans: list[tuple[int, str, int]]) -> Iterator[tupl
             yield m.group().lower(), s, e
 
 
+def term_hash(term: str) -> int:
+    """64 bits, signed: what a term is known by in counts and joins."""
+    from xxhash import xxh3_64_intdigest
+    h = xxh3_64_intdigest(term)
+    return h - (1 << 64) if h >> 63 else h
+
+
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
-NEAR = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+NEAR = T.StructType([T.StructField("term", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 FOUND = T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR)),
                       T.StructField("entities", T.ArrayType(T.LongType()))])
 
 
 def _found(docs: DataFrame) -> DataFrame:
     def make():
-        from xxhash import xxh3_64_intdigest
-        signed = lambda s: int.from_bytes(xxh3_64_intdigest(s).to_bytes(8, "little"), "little", signed=True)
-
         def work(_, texts):
             spans, near, mentioned = [], [], []
             for text in texts:
                 own = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-                near.append([{"term": t, "start": s, "end": e} for t, s, e in terms_outside(text, own)] if own else [])
-                mentioned.append([signed(x) for x in {entity(k, text[s:e]) for s, k, e in own}])
+                near.append([{"term": term_hash(t), "start": s, "end": e} for t, s, e in terms_outside(text, own)] if own else [])
+                mentioned.append([term_hash(x) for x in {entity(k, text[s:e]) for s, k, e in own}])
             return [spans, near, mentioned]
 
         return work
@@ -123,34 +127,54 @@ def _found(docs: DataFrame) -> DataFrame:
     return stored(map_texts(docs, "text", ["id", "th"], FOUND, make))
 
 
+def _filter(terms: DataFrame) -> np.ndarray:
+    """A bit for the top ``FILTER_BITS`` bits of each of the ``terms``, in words of 64; the driver gets the words with any."""
+    place = F.call_function("shiftrightunsigned", F.col("term"), F.lit(64 - FILTER_BITS))
+    word, bit = F.call_function("shiftright", place, F.lit(6)), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    found = terms.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
 def _text_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term`` and ``n``, the distinct texts that hold it; the empty term counts all texts with a term.
+    """``term`` and ``n``, the distinct texts that hold it, for all ``terms`` (and some others that share a bit of the filter); the null
+    term counts all texts with a term.
 
     Each of m copies of a text counts 1 / m, so that texts need no shuffle to be counted once.
     """
-    listed = [r.term for r in terms.limit(MAX_TERMS + 1).collect()]
-    wanted = frozenset(listed) if len(listed) <= MAX_TERMS else None
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.DoubleType())])
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(terms))
+    schema = T.StructType([T.StructField("term", T.LongType()), T.StructField("n", T.DoubleType())])
     copies = stored(docs.groupBy("th").agg(F.count("*").alias("m")).filter("m > 1"))
     counted = left_small(docs.select("th", "text"), copies, "th").select("text", (1 / F.coalesce("m", F.lit(1))).alias("share"))
 
-    def rows(counts: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["term", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        bits, known, counts, every = wanted.value, {}, {}, 0.0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.int64()), pa.array([every, *counts.values()], pa.float64())], names=["term", "n"])
+
+        def look(word: str) -> int | None:
+            h = term_hash(word)
+            place = (h & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
+            known[word] = out = h if int(bits[place >> 6]) >> (place & 63) & 1 else None
+            return out
+
         for batch in batches:
             for part in text_slices(batch, "text"):
                 for text, share in zip(part.column("text").to_pylist(), part.column("share").to_pylist(), strict=True):
                     own = set(map(str.lower, TERM.findall(text or "")))
-                    if own:
-                        counts[""] += share
-                        for term in own if wanted is None else wanted & own:
-                            counts[term] += share
+                    every += share if own else 0
+                    for word in own:
+                        h = known[word] if word in known else look(word)
+                        if h is not None:
+                            counts[h] = counts.get(h, 0.0) + share
+                if len(known) > TASK_TERMS:
+                    known = {}
                 if len(counts) > TASK_TERMS:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+                    yield rows()
+                    counts, every = {}, 0.0
+        yield rows()
 
     return counted.mapInArrow(run, schema).groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
@@ -163,8 +187,8 @@ def disclosures(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")))
     counts = stored(_text_counts(docs, both.select("term").filter("term IS NOT NULL").distinct()))
     alone = both.filter("term IS NULL").select("entity", F.col("both").alias("n_entity"))
-    total = F.lit(counts.filter("term = ''").agg(F.max("n")).first()[0] or 1)
-    joined = both.join(alone, "entity").join(counts.withColumnRenamed("n", "n_term"), "term")
+    total = F.lit(counts.filter("term IS NULL").agg(F.max("n")).first()[0] or 1)
+    joined = both.filter("term IS NOT NULL").join(alone, "entity").join(counts.withColumnRenamed("n", "n_term"), "term")
     pmi = F.log2(F.col("both") * total / (F.col("n_term") * F.col("n_entity")))
     return joined.select("entity", "term", F.greatest(F.lit(0.0), pmi / F.greatest(F.log2(total / F.col("n_entity")), F.lit(1e-9))).alias("share"))
 
@@ -179,16 +203,17 @@ def find(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limits: L
     frame = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
     found = _found(frame)
     with_entity = found.filter(F.size("entities") > 0)
-    words = F.concat(F.array_distinct(F.transform("near", lambda x: x["term"])), F.array(F.lit(None).cast("string")))
-    pairs = with_entity.select("th", "entities", words.alias("words")).distinct().select("th", "words", F.explode("entities").alias("entity"))
-    pairs = stored(pairs.select("th", "entity", F.explode("words").alias("term")).distinct())
+    words = F.concat(F.array_distinct(F.transform("near", lambda x: x["term"])), F.array(F.lit(None).cast("long")))
+    texts = with_entity.select("th", "entities", words.alias("words")).dropDuplicates(["th"])
+    pairs = stored(texts.select("th", F.explode("entities").alias("entity"), "words").select("th", "entity", F.explode("words").alias("term")))
     telling = disclosures(pairs, frame).filter(F.col("share") >= limits.generalise)
-    shares = stored(pairs.join(telling, ["entity", "term"]).groupBy("th", "term").agg(F.max("share").alias("share")))
-    spot = with_entity.select("id", "th", F.explode("near").alias("x")).select(
-        "id", F.struct("th", "x.term").alias("at"), "x.start", "x.end")
-    term = F.struct("start", "end", "share")
-    each = right_small(spot, shares.select(F.struct("th", "term").alias("at"), "share"), "at").select("id", "at.th", "start", "end", "share").distinct()
-    per_doc = stored(each.groupBy("id", "th").agg(F.sort_array(F.collect_list(term)).alias("terms")))
+    shares = pairs.join(telling, ["entity", "term"]).groupBy("th", "term").agg(F.max("share").alias("share"))
+    told = F.map_from_entries(F.collect_list(F.struct("term", "share")))
+    per_text = stored(shares.groupBy("th").agg(told.alias("told")))
+    spot = right_small(with_entity.select("id", "th", "near"), per_text, "th")
+    kept = F.filter(F.transform("near", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("told")[x["term"]].alias("share"))),
+                    lambda x: x["share"].isNotNull())
+    per_doc = stored(spot.select("id", "th", F.sort_array(kept).alias("terms")).filter(F.size("terms") > 0).dropDuplicates(["id", "th"]))
     out = attach(found.select("id", "th", "spans"), per_doc, ["id", "th"])
     empty = F.array().cast("array<struct<start:int,end:int,share:double>>")
     return out.select(F.col("id").alias(key), F.col("th").alias("text_hash"), "spans", F.coalesce("terms", empty).alias("terms"))
