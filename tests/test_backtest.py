@@ -209,9 +209,11 @@ def test_replicate_sums_are_the_counts_times_the_values(spark):
     assert rows(got, "c", "b", "s", "n") == rows(want, "c", "b", "s", "n")
 
 
-def test_draws_by_join_and_in_tasks(spark, monkeypatch):
+def test_draws_of_any_partitioning(spark, monkeypatch):
+    """The interval depends on the bets alone: not on their partitions, and not on how wide the tree of draws is in cells of few returns."""
     df = spark.range(60).select(F.col("id").alias("race_id"), (F.col("id") % 2).alias("tier"), (F.col("id") % 3 == 0).cast("int").alias("is_hit"),
                                 (F.col("id") * 0.25).alias("payout_odds"))
     a = rows(RS.bootstrap_ci(df, ["race_id"], ["tier"], n_boot=50, method="draws"))
-    monkeypatch.setattr(RS, "DRAWS_IN_TASKS", 0)
-    assert rows(RS.bootstrap_ci(df, ["race_id"], ["tier"], n_boot=50, method="draws")) == a
+    assert a == rows(RS.bootstrap_ci(df.repartition(13, "race_id"), ["race_id"], ["tier"], n_boot=50, method="draws")) and len(a) == 2
+    monkeypatch.setattr(RS, "DRAW_WIDTH", 60)
+    assert a == rows(RS.bootstrap_ci(df.coalesce(1), ["race_id"], ["tier"], n_boot=50, method="draws"))
