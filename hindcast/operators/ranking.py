@@ -28,7 +28,7 @@ MAX_RUNNERS = 18
 WRITE_EVERY = 5
 
 
-def _checked(runners: Column) -> Column:
+def checked(runners: Column) -> Column:
     """The runners, or an error for a race that is no race."""
     return F.when(F.size(runners) > MAX_RUNNERS, F.raise_error(F.concat(
         F.lit(f"more than {MAX_RUNNERS} runners in race "), F.col(RACE).cast("string")))).otherwise(runners)
@@ -40,7 +40,7 @@ def grouped(df: DataFrame, gain: str, score: Column, x: Column | None = None, we
              score.cast("double").alias("s")]
     runner = F.struct(*parts, *([x.alias("x")] if x is not None else []))
     rows = df.filter(F.col(gain).isNotNull() & F.col(RACE).isNotNull()).groupBy(RACE).agg(F.sort_array(F.collect_list(runner)).alias("runners"))
-    return rows.withColumn("runners", _checked(F.col("runners")))
+    return rows.withColumn("runners", checked(F.col("runners")))
 
 
 def _discount(place: Column) -> Column:

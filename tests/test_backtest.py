@@ -131,6 +131,22 @@ def test_probability_sums(e):
     assert quin.filter("abs(s - 1) > 1e-9").count() == 0
 
 
+def test_combinations_of_odd_races(spark):
+    schema = "race_id string, horse_number int, win_prob double, place_prob double"
+    many = spark.createDataFrame([("big", i, 0.1, 0.1) for i in range(19)], schema)
+    for table in (G.pl_place, G.pl_wide, G.recommend):
+        with pytest.raises(Exception, match="more than 18 runners in race big"):
+            table(many).collect()
+    odd = spark.createDataFrame([("a", 1, None, None), ("a", 2, 0.0, None), (None, 1, .5, .5), ("b", None, .5, .5), ("c", 3, 0.4, None)], schema)
+    assert rows(G.pl_place(odd), "race_id", "horse_number", "place_prob") == [("c", 3, 1.0)]
+    assert G.pl_quinella(odd).count() == G.pl_trio(odd).count() == G.pl_place(odd.limit(0)).count() == 0
+    assert [(r.race_id, r.recommended_win, r.recommended_place, r.recommended_trio) for r in G.recommend(odd).collect()] == [("c", True, False, False)]
+    field = spark.createDataFrame([("r", i, 1 / 18, 1 / 6) for i in range(1, 19)], schema)
+    assert G.pl_trio(field).agg(F.count("*"), F.round(F.sum("prob"), 9)).first() == (816, 1.0)
+    best = {r.horse_number for r in G.recommend(field).collect() if r.recommended_trio}
+    assert best == {1, 2, 3}  # all equal: the lower numbers
+
+
 def test_recommendations(spark):
     df = spark.createDataFrame([("r", 1, .5, .9, 2.0), ("r", 2, .3, .7, 6.0), ("r", 3, .15, .6, 3.0), ("r", 4, .05, .2, 40.0)],
                                "race_id string, horse_number int, win_prob double, place_prob double, odds double")
