@@ -155,36 +155,76 @@ def bracket_mean(history: DataFrame, targets: DataFrame) -> DataFrame:
                     (F.col("__s") / F.nullif(F.col("__n"), F.lit(0.0))).alias("bracket_distance_avg_finish"))
 
 
+#: Totals that the serving features need: name -> (keys, summed column).
+TOTALS = {
+    "venue": (("jockey_id", "venue", "course_type"), "is_win"),
+    "trainer": (("trainer_id",), "is_win"),
+    "jockey": (("jockey_id",), "is_win"),
+    "owner": (("owner",), "is_win"),
+    "progeny": (("sire", "course_type"), "is_placed"),
+    "bracket": (("bracket_number", "band"), "finishing_position"),
+}
+SPEED = {"speed": (("sire", "course_type"), "race_time_zscore")}
+
+
+def _by_kind(df: DataFrame, kinds: Mapping[str, tuple[Sequence[str], str]], summed: bool, *keep: Column) -> DataFrame:
+    """A row for each row of ``df`` and kind whose keys it has: ``kind``, ``key``, the day, ``n`` and ``s`` (0 if not
+    ``summed``) and ``keep``."""
+    items = []
+    for kind, (keys, col) in kinds.items():
+        known = F.col(DATE).isNotNull()
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        sums = rate_sums("n", "s", col) if summed else {"n": F.lit(0), "s": F.lit(0)}
+        items.append(F.when(known, F.struct(F.lit(kind).alias("kind"), F.array(*[F.col(k).cast("string") for k in keys]).alias("key"),
+                                            *[e.cast("double").alias(n) for n, e in sums.items()])))
+    return df.select(DATE, *keep, F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*", DATE, *[F.col(c) for c in df.select(*keep).columns])
+
+
+def totals_before(facts: Sequence[tuple[DataFrame, Mapping[str, tuple[Sequence[str], str]]]], upcoming: DataFrame) -> DataFrame:
+    """``upcoming`` with a column ``__<kind>`` for each kind of ``facts``: (n, s) of the entry's key before its day, null
+    where a part of the key or the day is.
+
+    Each frame of ``facts`` is read once for all its kinds; rows are combined per (kind, key, day) before the one shuffle,
+    the days asked for join as empty ones, and one window over calendar days answers all kinds. Entries that agree in
+    every key share their totals, so repeated entries stay as they are.
+    """
+    kinds = {kind: spec for _, some in facts for kind, spec in some.items()}
+    ident = list(dict.fromkeys([*KEY, DATE, *[k for keys, _ in kinds.values() for k in keys]]))
+    up = upcoming.withColumn("__id", F.struct(*ident))
+    asked = _by_kind(up.select(*ident, "__id").distinct(), kinds, False, F.col("__id"))
+    rows = asked.drop("__id")
+    for df, some in facts:
+        rows = rows.unionByName(_by_kind(df, some, True))
+    prior = daily_prior(rows, ["kind", "key"], {"n": F.col("n"), "s": F.col("s")})
+    found = asked.select("__id", "kind", "key", DATE).join(prior, ["kind", "key", DATE])
+    one = found.groupBy("__id").agg(*[F.max(F.when(F.col("kind") == kind, F.struct("n", "s"))).alias(f"__{kind}") for kind in kinds])
+    return up.join(one, "__id", "left").drop("__id")
+
+
 def serve_assemble(history: DataFrame, upcoming: DataFrame, odds: DataFrame | None = None) -> DataFrame:
     """All serving features of the upcoming entries; the sire columns fall back to base rate, 0 and 0."""
     up = upcoming.withColumn("band", band("distance", bounds=None))
-    wide = serve_latest_state(history, up).withColumn("as_of", F.col(DATE))
     speed = history.join(up.select("sire").dropna().distinct(), "sire", "left_semi").select(RACE).distinct()
     timed = history.join(speed, RACE, "left_semi").select(
-        *KEY, DATE, "sire", "course_type", zscore("finish_time_sec", invert=True).alias("race_time_zscore"))
-    sire = ["sire", "course_type"]
-    parts = [
-        (["jockey_id", "venue", "course_type"], venue_rate(history, up)),
-        (["trainer_id"], last_k_rate(history, targets_of(up, ["trainer_id"]))),
-        (["trainer_id"], rate_before(history, targets_of(up, ["trainer_id"]), "trainer_id", prefix="trainer_prior")),
-        (["jockey_id"], rate_before(history, targets_of(up, ["jockey_id"]), "jockey_id", prefix="jockey_prior")),
-        (["owner"], rate_before(history, targets_of(up, ["owner"]), "owner", prefix="owner_prior")),
-        (sire, shrunk_rate_before(history, targets_of(up, sire), sire)),
-        (sire, shrunk_mean_before(timed, targets_of(up, sire), sire)),
-        (["bracket_number", "band"], bracket_mean(history, targets_of(up, ["bracket_number", "band"]))),
-        ([], global_rate_before(history, up.select(F.col(DATE).alias("as_of")), out="__base")),
-    ]
-    for keys, part in parts:
-        wide = wide.join(part, [*keys, "as_of"], "left")
+        DATE, "sire", "course_type", zscore("finish_time_sec", invert=True).alias("race_time_zscore"))
+    wide = totals_before([(history.withColumn("band", band("distance", bounds=None)), TOTALS), (timed, SPEED)], up)
+    n, total = (lambda kind: F.col(f"__{kind}.n")), (lambda kind: F.col(f"__{kind}.s"))
+    rate = lambda kind: total(kind) / F.nullif(n(kind), F.lit(0.0))
+    out = {"jockey_win_rate_venue_cond": rate("venue"), "bracket_distance_avg_finish": rate("bracket")}
+    for kind in ("trainer", "jockey", "owner"):  # no history: no row, as a grouped query would give
+        out |= {f"{kind}_prior_win_rate": rate(kind), f"{kind}_prior_mounts": F.when(n(kind) > 0, n(kind))}
+    out |= {
+        "sire_place_rate_cond": F.coalesce((total("progeny") + S.K_PLACE * F.col("__base")) / (n("progeny") + S.K_PLACE), "__base"),
+        "sire_progeny_mounts_cond": F.coalesce(n("progeny"), F.lit(0.0)),
+        "sire_avg_speed_index_cond": F.coalesce(total("speed") / (n("speed") + S.K_SPEED), F.lit(0.0)),
+    }
+    base = global_rate_before(history, up.select(F.col(DATE).alias("as_of")), out="__base")
+    wide = wide.join(base.withColumnRenamed("as_of", DATE), DATE, "left").withColumns(out)
+    wide = serve_latest_state(history, wide.drop("band", "__base", *[f"__{kind}" for kind in (*TOTALS, *SPEED)])).withColumn("as_of", F.col(DATE))
+    last = last_k_rate(history, targets_of(up, ["trainer_id"]))
+    wide = wide.join(last, ["trainer_id", "as_of"], "left")
     if odds is not None:
         wide = wide.join(odds.select(*KEY, "win_odds"), KEY, "left")
-    wide = wide.withColumns({
-        "sire_place_rate_cond": F.coalesce("sire_place_rate_cond", "__base"),
-        "sire_progeny_mounts_cond": F.coalesce("sire_progeny_mounts_cond", F.lit(0.0)),
-        "sire_avg_speed_index_cond": F.coalesce("sire_avg_speed_index_cond", F.lit(0.0)),
-    })
-    for kind in ("trainer", "jockey", "owner"):  # no history: no row, as a grouped query would give
-        n = F.col(f"{kind}_prior_mounts")
-        wide = wide.withColumn(f"{kind}_prior_mounts", F.when(n > 0, n))
-    wide = wide.drop("as_of", "band", "__base").withColumn("class_change", F.col("class_level") - F.col("prev_class_level"))
+    wide = wide.drop("as_of").withColumn("class_change", F.col("class_level") - F.col("prev_class_level"))
     return pace(prev_deltas(wide.drop("prev_class_level")))

@@ -130,3 +130,29 @@ def test_walk_forward(spark):
         D.walk_forward(days(spark, 3), 5)
     long = D.walk_forward_rows(days(spark, 30), 5).groupBy("fold", "role").count().collect()
     assert {(r.fold, r.role): r["count"] for r in long}[(5, "train")] == 25
+
+
+def test_totals_of_many_keys(spark):
+    """Each kind equals the single-key totals; null parts of a key give none; repeated entries stay."""
+    from datetime import date
+
+    from hindcast.operators import serving as V
+    schema = "race_id string, horse_number int, date date, trainer_id string, sire string, course_type string, is_win int, is_placed int"
+    day = lambda n: date(2020, 1, n)
+    hist = spark.createDataFrame([(f"h{i}", i % 5, day(1 + i % 9), f"t{i % 3}" if i % 7 else None, f"s{i % 2}", "turf" if i % 4 else None,
+                                   i % 2, None if i % 6 == 0 else 1 - i % 2) for i in range(60)], schema)
+    up = spark.createDataFrame([("u", 1, day(4), "t1", "s0", "turf", 0, 0), ("u", 2, day(4), "new", "s1", "turf", 0, 0), ("u", 3, day(4), None, "s0", None, 0, 0),
+                                ("u", 4, None, "t1", "s0", "turf", 0, 0), ("v", 1, day(8), "t1", "s0", "turf", 0, 0), ("v", 1, day(8), "t1", "s0", "turf", 0, 0)], schema)
+    kinds = {"a": (("trainer_id",), "is_win"), "b": (("sire", "course_type"), "is_placed")}
+    got = V.totals_before([(hist, kinds)], up)
+    assert got.count() == 6 and got.columns == [*up.columns, "__a", "__b"]
+    past = [r for r in hist.collect()]
+    for r in got.collect():
+        for tot, keys, flag in ((r["__a"], ["trainer_id"], "is_win"), (r["__b"], ["sire", "course_type"], "is_placed")):
+            if r.date is None or any(r[k] is None for k in keys):
+                assert tot is None
+                continue
+            seen = [h[flag] for h in past if h.date < r.date and all(h[k] == r[k] for k in keys) and h[flag] is not None]
+            assert (tot.n, tot.s) == (len(seen), sum(seen))
+    assert V.totals_before([(hist.limit(0), kinds)], up).filter("__a.n > 0").count() == 0
+    assert V.totals_before([(hist, kinds)], up.limit(0)).count() == 0
