@@ -456,6 +456,17 @@ def _(spark, d):
     return VX.cosine_topn(vector_table(spark, d), "owner", 0, 10)
 
 
+@register("vector_covariance", f"""
+WITH v AS (SELECT CAST(label AS VARCHAR) AS category, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT a.category, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, count(*) AS n, round(covar_samp(a.x, b.x), 6) + 0.0::DOUBLE AS cov
+FROM v a JOIN v b ON a.category = b.category AND a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""")
+def _(spark, d):
+    v = en.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("category"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    rows = VX.covariances(v).select("category", "n", F.posexplode("cov").alias("i", "row"))
+    cells = rows.select("category", "n", "i", F.posexplode("row").alias("j", "cov")).filter("i <= j")
+    return cells.select("category", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "n", "cov")
+
+
 @register("pca_vectors")
 def _(spark, d):
     return VX.pca_vectors(vector_table(spark, d), 8)

@@ -3,6 +3,7 @@ import pathlib
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -157,6 +158,29 @@ def test_vectors(spark):
     assert len(VX.pca_vectors(v, 10).filter("category = 'jockey_id'").first().vec) == 2
 
 
+def test_projection_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    sets = {"a": 1000 + rng.normal(size=(200, 5)) * [5, 3, 2, 1, 0.1], "b": rng.normal(size=(40, 3)) @ rng.normal(size=(3, 3)), "one": np.ones((1, 2))}
+    data = [(c, i, [float(v) for v in x]) for c, xs in sets.items() for i, x in enumerate(xs)] + [("a", 900, None)]
+    df = spark.createDataFrame(data, "category string, id int, vec array<double>").repartition(7)
+    covs = {r.category: r for r in VX.covariances(df).collect()}
+    axes = {r.category: r for r in VX.principal_axes(df, 2).collect()}
+    got = {(r.category, r.id): r.vec for r in VX.pca_vectors(df, 2).collect()}
+    assert len(got) == len(data) and got["a", 900] is None
+    for c, xs in sets.items():
+        assert covs[c].n == len(xs) and np.allclose(covs[c].mean, xs.mean(axis=0))
+        if len(xs) == 1:
+            assert np.allclose(got[c, 0], 0)
+            continue
+        assert np.allclose(np.array(covs[c].cov, float), np.cov(xs.T), atol=1e-9)
+        mine = np.array([got[c, i] for i in range(len(xs))])
+        w = np.array(axes[c].axes)
+        assert np.allclose(mine, (xs - xs.mean(axis=0)) @ w.T, atol=1e-8) and np.allclose(w @ w.T, np.eye(2), atol=1e-9)
+        assert np.allclose(mine.var(axis=0, ddof=1), np.linalg.eigvalsh(np.cov(xs.T))[::-1][:2]) and np.allclose(axes[c].variance, mine.var(axis=0, ddof=1))
+        assert all(a[np.abs(a).argmax()] > 0 for a in w)
+    assert VX.pca_vectors(df.limit(0), 2).count() == 0
+
+
 def page(spark, html):
     return spark.createDataFrame([(1, "", html)], "page_id long, url string, html string")
 
