@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type as to_arrow
@@ -240,9 +240,8 @@ def _opened_links(sets: DataFrame, grouped: DataFrame, docs: DataFrame, size: in
     other = grouped.filter("NOT single OR gc <> id").select("id", key.alias("group"))
     rows = left_small(sets.select("id", "prefix"), other, "id").select(
         "id", F.coalesce("group", F.xxhash64(F.lit(True), "id")).alias("group"), F.posexplode("prefix").alias("pos", "token"))
-    over = Window.partitionBy("token")
-    several = F.min("group").over(over) < F.max("group").over(over)
-    met_tokens = stored(rows.withColumn("several", several).filter("several").select("id", "pos", "token"))
+    several = rows.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
+    met_tokens = stored(within(rows, stored(several), "token").select("id", "pos", "token"))
     own = met_tokens.join(grouped, "id").withColumn("rest", F.col("n") - F.col("pos"))
     asked = [F.col(c).alias(f"h{c[1:]}") for c in ("gc", "gb")]
     matrix = own.groupBy("token", F.col("single").alias("hs"), *asked).agg(
@@ -284,16 +283,20 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     sets = stored(_sets(frame, "text", size, percent, common_tokens(frame, "text", size)))
     known = sets.filter("id IS NOT NULL AND n > 0")
     same = known.groupBy("n", "sum", "xor").agg(F.min("id").alias("rep"))
-    classes = stored(known.select("id", "n", "sum", "xor").join(same, ["n", "sum", "xor"]).select("id", "n", "rep").distinct())
+    same_sets = stored(known.select("id", "n", "sum", "xor").join(same, ["n", "sum", "xor"]).distinct())
+    classes = same_sets.select("id", "n", "rep")
     own = classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     reps = stored(known.join(classes.filter("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"))
     with_key = frame.filter("id IS NOT NULL")
     stars, families = _star_links(reps, with_key, size, percent)
     clusters = stored(components(stars).withColumnRenamed("component", "cluster"))
-    leading = within(known, classes.filter("id <> rep").select("id").distinct(), "id", anti=True)
+    own_set = F.struct("id", "n", "sum", "xor").alias("own_set")
+    copies = same_sets.filter("id <> rep").select(own_set)
+    leading = within(known.select("*", own_set), copies, "own_set", anti=True)
     grouped = _groups(reps.select("id", "n"), clusters, stored(families))
     opened = stored(_opened_links(leading, grouped, with_key, size, percent))
-    links = stars.unionByName(opened).unionByName(own.filter("a < b").select("a", "b"))
+    tied = classes.join(own.filter("a < b").select("id", "a"), "id").filter("a < rep").select("a", F.col("rep").alias("b"))
+    links = stars.unionByName(opened).unionByName(tied)
     found = components(links)
     placed = own.join(found, own.a == found.id, "left").select(own.id.alias("id"), F.coalesce("component", "a").alias("component_id"))
     return sets.select("id", F.col("n").alias("n_shingles")).join(placed, "id", "left").select(

@@ -27,6 +27,8 @@ from hindcast.session import stored
 BUCKETS = 1 << 16
 #: Labelled documents of each language that the text model is fitted on.
 TRAIN_DOCS = 2000
+#: Parts that a language's documents are ranked in before the best of all parts are.
+LANES = 256
 #: Weight of a trigram's log likelihood: trigrams overlap, so three share one letter's evidence.
 TEMPER = 1 / 3
 #: Pages that a domain's prior counts as in a host's, and all pages' in a domain's.
@@ -73,10 +75,18 @@ def trigrams(text: str) -> np.ndarray:
 def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
                    per_language: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (language, bucket), from the ``per_language`` documents of each language whose ids
-    have the smallest hashes. The model's size does not depend on the documents'."""
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, F.length(text_col).alias("n")).withColumn(
-        "rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select(id_col, lang_col)
+    have the smallest hashes. The model's size does not depend on the documents'.
+
+    Rows without a text or a language teach nothing; an empty text counts as a document without trigrams. Ties of hashes go
+    to the smaller id; rows that repeat an id take a place each, and all of them are read. Without a labelled document there
+    are no languages. Each of ``LANES`` lanes of a language gives its smallest hashes, and only these meet.
+    """
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col), F.col(lang_col), F.xxhash64(id_col).alias("__hash")).withColumn("__lane", F.pmod(F.xxhash64("__hash"), F.lit(LANES)))
+    for by in ([lang_col, "__lane"], [lang_col]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("__hash", id_col))
+        rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= per_language)
+    picked = rows.select(id_col, lang_col)
     sample = docs.select(id_col, lang_col, text_col).join(picked, [id_col, lang_col], "left_semi")
     schema = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
 
@@ -89,7 +99,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     languages = sorted(set(rows["lang"]))
     counts = np.full((len(languages), BUCKETS), 0.5)
     number = {c: i for i, c in enumerate(languages)}
-    counts[[number[c] for c in rows["lang"]], np.array(rows["bucket"], dtype=np.int64)] += rows["n"]
+    counts[np.array([number[c] for c in rows["lang"]], dtype=np.int64), np.array(rows["bucket"], dtype=np.int64)] += rows["n"]
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts
 
 
@@ -121,14 +131,15 @@ def identify(pages: DataFrame, languages: list[str], model: np.ndarray, key: str
     Missing evidence (no text, no attribute, no address, null columns) leaves the others to decide; ties go to the first
     language by name. A language that the model does not know can be declared, which counts as one more value. Repeated
     rows count like any other. Other columns are not read; an empty table gives none. The counts are grouped sums, so a host
-    with very many pages is added up in its tasks first.
+    with very many pages is added up in its tasks first. A model without languages gives null languages and probabilities.
     """
-    if not languages:
-        raise ValueError("the model knows no language")
     k = len(languages)
     frame = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     found = map_texts(_evidence(frame, model), "url", ["id", "likelihood", "declared"], PLACE,
                       lambda: lambda _, urls: list(zip(*[address(u) for u in urls])) or [[], [], []])
+    if not languages:
+        none = [F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang")]
+        return found.select(F.col("id").alias(key), *none, "declared", "suffix", "host")
     each = F.transform("likelihood", lambda x: F.exp(x))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     found = stored(found.withColumn("e", each).withColumn("posterior", F.transform("e", lambda x: x / total("e"))).drop("e"))

@@ -170,6 +170,23 @@ def test_components(spark, monkeypatch, group, keys):
     assert jaccard.similar_components(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("rounds", "keys"), [(0, 1_000_000), (0, 0), (6, 1_000_000)])
+def test_components_of_several_texts_under_a_key(spark, monkeypatch, rounds, keys):
+    """A key links through each of its texts, also where another of them is a copy of another key's, and where only the
+    matrix finds the link."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = lambda t: " ".join(t.split()[:-3])
+    rows = [(5, a), (5, b), (3, b), (9, near(a)),  # 9 by the text that 5 alone has
+            (20, b + " x"), (30, c), (31, d), (40, c), (40, d), (40, near(d)), (41, near(c)), (42, d), (50, prose(rng, 60)), (50, None)]
+    got = jaccard.similar_components(docs(spark, rows)).collect()
+    want = brute_components(rows)
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(k, root) for k, (_, root) in want.items()}
+    assert want[9][1] == 3 and want[42][1] == 30 and want[41][1] == 30 and want[50][1] == 50
+
+
 def brute_windows(rows, items, size=10):
     words = lambda t: (t or "").encode().translate(decontam.FOLD).split()
     out = {}

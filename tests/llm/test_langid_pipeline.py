@@ -70,6 +70,33 @@ def test_fusion_as_written_down(spark, model):
     assert langid.identify(df.limit(0), languages, logs).count() == 0
 
 
+def test_fit_by_counting(spark, monkeypatch):
+    """The documents of the smallest hashes of each language and their trigrams, whatever the lanes; odd and no rows."""
+    some = table(spark, SF, "documents").select("doc_id", "text", "lang").limit(300)
+    odd = spark.createDataFrame([(1, None, "en"), (2, "words", None), (3, "", "xx"), (None, "nothing", "en"), (7, "again", "xx"), (7, "again", "xx")],
+                                "doc_id long, text string, lang string")
+    rows = some.unionByName(odd).withColumn("h", F.xxhash64("doc_id")).withColumns({"rank": F.lit(9), "__extra": F.lit("x")}).cache()
+    taught = {}
+    for r in sorted((r for r in rows.collect() if r.text is not None and r.lang is not None), key=lambda r: (r.h, r.doc_id is not None, r.doc_id)):
+        taught.setdefault(r.lang, []).append(r)
+    for lanes in (1, 5):
+        monkeypatch.setattr(langid, "LANES", lanes)
+        languages, logs = langid.fit_text_model(rows, per_language=20)
+        assert languages == sorted(taught)
+        for lang, got in zip(languages, logs):
+            counts = np.full(langid.BUCKETS, 0.5)
+            for r in taught[lang][:20]:
+                if r.doc_id is not None:
+                    np.add.at(counts, langid.trigrams(r.text).astype(np.int64), 1)
+            assert np.allclose(got, np.log(counts / counts.sum()))
+    languages, logs = langid.fit_text_model(rows.limit(0))
+    assert languages == []
+    pages = spark.createDataFrame([(1, "http://a.b.de/x", "<html lang=de><p>Haus"), (2, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify(pages, languages, logs).collect()}
+    assert (got[1].lang, got[1].probability, got[1].text_lang, got[1].declared, got[1].suffix, got[1].host) == (None, None, None, "de", ".de", "a.b.de")
+    assert got[2].lang is None and got[2].declared is None
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
