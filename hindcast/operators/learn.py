@@ -23,6 +23,7 @@ from hindcast import schema as S
 from hindcast.operators.cuts import cut_features, history_cuts, of_cut
 from hindcast.operators.evaluate import METRICS, evaluate, longshot_metrics, nll
 from hindcast.operators.history import DATE, decay_weight
+from hindcast.operators.isotonic import isotonic_blocks, step_points
 from hindcast.operators.keyed import dense_index
 from hindcast.operators.permute import shuffled_repeats
 from hindcast.operators.race import ENTRY, RACE, normalise, predicted_rank, relevance_label, softmax
@@ -108,7 +109,8 @@ def raw_score(model: PipelineModel | RankModel, df: DataFrame, out: str) -> Data
     nums = [c[:-3] for s in model.stages if hasattr(s, "getOutputCols") for c in s.getOutputCols() if c.endswith("__n")]
     data = df.withColumns({c: F.col(c).cast("double") for c in nums})
     scored = model.transform(data).withColumn(out, vector_to_array("probability")[1])
-    return scored.select(*df.columns, out)
+    back = [F.col(c).cast(t).alias(c) if c in nums else F.col(c) for c, t in df.dtypes]
+    return scored.select(*back, out)
 
 
 @dataclass
@@ -130,7 +132,8 @@ def fit_calibrator(scored: DataFrame, col: str, label: str, method: str = "isoto
     """Isotonic steps (values outside the fitted range are clipped to its ends) or a logistic curve with C = 1."""
     data = scored.withColumn("__label", F.col(label).cast("double"))
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol=col, labelCol="__label", predictionCol="__cal").fit(data)
+        steps = step_points(isotonic_blocks(data, col, "__label"))  # the model gets the ends of the steps, not the rows
+        model = IsotonicRegression(featuresCol="score", labelCol="mean", weightCol="weight", predictionCol="__cal").fit(steps).setFeaturesCol(col)
     elif method == "sigmoid":
         n = max(data.count(), 1)
         vec = VectorAssembler(inputCols=[col], outputCol="__s").transform(data)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from hindcast import schema as S
@@ -10,9 +12,11 @@ from hindcast.operators import combos as G
 from hindcast.operators import evaluate as E
 from hindcast.operators import resample as R
 from hindcast.operators import splits as D
+from hindcast.operators.race import predicted_rank
 from hindcast.plans import entries as en
 from hindcast.plans.catalog.base import on_entries, oracle
 from hindcast.plans.oracle_base import PAYOFFS, POP_TIER
+from hindcast.session import ensure_checkpoint_dir
 from hindcast.sources import store
 
 N_BOOT = 10_000
@@ -515,3 +519,14 @@ LEFT JOIN (SELECT race_id, coalesce(list_sort(list(horse_number) FILTER (WHERE s
 def _(e):
     p = priced(e)
     return store.picks_document(G.recommend(p), G.strategy_picks(p), G.STRATEGIES)
+
+
+@on_entries("saved_run", oracle("""
+SELECT race_id, horse_number, CAST(rank() OVER (PARTITION BY race_id ORDER BY win_prob DESC) AS INT) AS predicted_rank, win_prob FROM e""", rounds=["win_prob"]))
+def _(e):
+    """A run's predictions written to its folder and read back."""
+    spark = e.sparkSession
+    ensure_checkpoint_dir(spark)
+    p = predicted_rank(e.select("race_id", "horse_number", "win_prob")).select("race_id", "horse_number", "predicted_rank", "win_prob")
+    path = store.save_run(p, f"{spark.sparkContext.getCheckpointDir()}/runs-{uuid4().hex}", "20240101_000000")
+    return spark.read.schema(p.schema).option("header", True).csv(path)

@@ -1,16 +1,23 @@
-"""Model steps. The fits are iterative, so they have no SQL twin; row counts and tests check them."""
+"""Model steps. The boosted fits are iterative and have no SQL twin; facts about their predictions, row counts and tests check them."""
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators import learn as L
+from hindcast.operators.isotonic import isotonic_blocks
 from hindcast.operators.keyed import dense_index
 from hindcast.operators.permute import permuted
 from hindcast.operators.splits import split_by_date
 from hindcast.operators.race import relevance_label
 from hindcast.operators.ranking import gradients
 from hindcast.plans.catalog.base import on_entries, oracle
+from hindcast.plans.catalog.history import CUT
+from hindcast.session import ensure_checkpoint_dir
 
 FEATURES = ["venue", "course_type", "distance", "horse_number", "bracket_number", "weight_carried", "horse_weight", "odds", "popularity"]
 SMALL = {"maxIter": 3, "maxDepth": 3}
@@ -67,6 +74,55 @@ for _method, _name in (("isotonic", "isotonic_calibrate"), ("sigmoid", "platt_ca
     on_entries(_name, store=True)(_calibrated)
 
 
+@on_entries("isotonic_fit", oracle("""
+SELECT min(s) AS lo, max(s) AS hi, CAST(sum(n) AS BIGINT) AS n, CAST(sum(t) AS DOUBLE) AS total, fit AS mean FROM (
+  SELECT i, any_value(s) AS s, any_value(n) AS n, any_value(t) AS t, max(least) AS fit FROM (
+    SELECT k.i, k.s, k.n, k.t, min((k.ct - j.ct + j.t) / (k.cn - j.cn + j.n)) OVER (PARTITION BY j.i ORDER BY k.i DESC) AS least
+    FROM c j JOIN c k ON j.i <= k.i) GROUP BY i) GROUP BY fit""", """
+c AS (SELECT row_number() OVER (ORDER BY s) AS i, s, n, t, sum(n) OVER (ORDER BY s) AS cn, sum(t) OVER (ORDER BY s) AS ct
+  FROM (SELECT finish_time_sec AS s, count(*) AS n, CAST(sum(is_placed) AS DOUBLE) AS t FROM e GROUP BY 1))""", rounds=["lo", "hi", "total", "mean"]))
+def _(e):
+    """Ranges of 200 scores, so that several rounds take part; SQL has the largest least mean of all spans about a score."""
+    return isotonic_blocks(e, "finish_time_sec", "is_placed", range_rows=200).select("lo", "hi", "n", "total", "mean")
+
+
+METHODS = (None, "isotonic", "sigmoid")
+
+
+@on_entries("prediction_facts", oracle("""
+SELECT method, race_id, count(*) AS n, TRUE AS sums_to_one, TRUE AS ranks_hold, TRUE AS in_range
+FROM e, cut, (VALUES ('none'), ('isotonic'), ('sigmoid')) m(method) WHERE date >= test_from GROUP BY ALL""", CUT), store=True)
+def _(e):
+    """Of each way of calibration and race: all runners are there once, their chances add up to one (or there are none), each rank is
+    one more than the number of better runners, and the place chances are from 0 to 1."""
+    models, val, test = _fitted(e)
+
+    def facts(method: str | None) -> DataFrame:
+        p = L.predict(models if method is None else L.calibrate(models, val, method), test)
+        better = Window.partitionBy("race_id").orderBy(F.desc("win_prob"))
+        held = F.col("predicted_rank").eqNullSafe(F.when(F.col("win_prob").isNotNull(), F.rank().over(better)).cast("int"))
+        return p.withColumn("held", held | F.col("win_prob").isNull()).groupBy(F.lit(method or "none").alias("method"), "race_id").agg(
+            F.count_distinct("horse_number").alias("n"), F.coalesce(F.abs(F.sum("win_prob") - 1) < 1e-9, F.lit(True)).alias("sums_to_one"),
+            F.min("held").alias("ranks_hold"), F.min(F.col("place_prob").between(0, 1)).alias("in_range"))
+
+    return reduce(DataFrame.unionByName, [facts(m) for m in METHODS])
+
+
+@on_entries("model_versions", oracle("SELECT race_id, horse_number, TRUE AS same FROM e, cut WHERE date >= test_from", CUT), store=True)
+def _(e):
+    """Of three saved versions the newest calibrated one is loaded, and it predicts what it did before."""
+    models, val, test = _fitted(e)
+    fitted = L.calibrate(models, val)
+    ensure_checkpoint_dir(e.sparkSession)
+    base = f"{e.sparkSession.sparkContext.getCheckpointDir()}/versions-{uuid4().hex}"
+    for version, saved in (("20240101_000000", models), ("20240102_000000", fitted), ("20240103_000000", models)):
+        L.save_models(saved, base, version)
+    back = L.predict(L.load_latest(e.sparkSession, base), test)
+    told = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in ("win_prob", "place_prob", "predicted_rank")]
+    again = back.select("race_id", "horse_number", *[F.col(c).alias(f"{c}_2") for c in ("win_prob", "place_prob", "predicted_rank")])
+    return L.predict(fitted, test).join(again, ["race_id", "horse_number"]).select("race_id", "horse_number", (told[0] & told[1] & told[2]).alias("same"))
+
+
 @on_entries("importance_rank", store=True)
 def _(e):
     models, _, _ = _fitted(e)
