@@ -3,7 +3,7 @@
 Two lines within ``edits`` edits share one of edits + 1 segments of the shorter one, at a place that the edits left and right of
 it allow (Li et al., "Pass-Join", 2011). So each line has the hashes of its own segments, and of its substrings where
 a segment of a line of its length or up to ``edits`` less can stand. Hashes that only one line has are dropped by a first pass,
-which counts them; the lines of the others meet by hash, and pairs are verified by a banded bit-parallel automaton:
+which counts them; the lines of the others meet by hash, those of a frequent segment by further segments of what is left of them, and pairs are verified by a banded bit-parallel automaton:
 for each number of edits one bit mask of the diagonals that are reached.
 """
 
@@ -32,21 +32,48 @@ def _lines(docs: DataFrame, min_chars: int, shorter: bool = False) -> DataFrame:
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _keys(edits: int, min_chars: int) -> Column:
-    """Hashes of segments: struct of the hash and whether it is one of the line's own segments."""
-    k, n = edits + 1, F.col("n")
+def _keys(edits: int, min_chars: int, text: str = "line", n: str = "n") -> Column:
+    """Hashes of segments of ``text`` with ``n`` characters: structs of the hash, whether it is one of the text's own segments, the
+    characters before it, its length and how many characters ``less`` a text has whose own segment it can be; or nulls."""
+    k = edits + 1
     out = []
     for less in range(edits + 1):
-        m = n - less
+        m = F.col(n) - less
         for i in range(1, k + 1):
             start, stop = F.floor(m * (i - 1) / k).cast("int"), F.floor(m * i / k).cast("int")
             low, high = max(1 - i, less - (k - i)), min(i - 1, less + (k - i))
             for shift in range(low, high + 1):
-                key = F.xxhash64(F.lit(i), m, F.substring("line", start + (1 + shift), stop - start))
+                key = F.xxhash64(F.lit(i), m, F.substring(text, start + (1 + shift), stop - start))
                 own = less == 0 and shift == 0
-                entry = F.struct(key.alias("key"), F.lit(own).alias("own"))
-                out.append(F.when((m >= min_chars) & (start + shift >= 0) & (stop + shift <= n), entry))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                entry = F.struct(key.alias("key"), F.lit(own).alias("own"), (start + shift).alias("before"), (stop - start).alias("size"), F.lit(less).alias("less"))
+                out.append(F.when((m >= min_chars) & (start + shift >= 0) & (stop + shift <= F.col(n)), entry))
+    return F.array(*out)
+
+
+#: Lines of one segment from which on it is not enough for a pair to be looked at.
+HOT = 128
+#: Times that the rest of a line is divided again.
+LEVELS = 3
+
+
+def _split_hot(members: DataFrame, edits: int, hot: int = HOT) -> DataFrame:
+    """``members`` with longer keys where more than ``hot`` lines have a key.
+
+    A pair within the edits has a segment in common such that what stands left and right of it is within the edits too. So the rests
+    of the lines of a frequent segment are divided in turn, and only lines meet that have a segment of the rest in common as well.
+    """
+    done, rows = [], members
+    for _ in range(LEVELS):
+        often = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("key"))
+        if often.isEmpty():
+            break
+        done.append(within(rows, often, "key", anti=True))
+        rest = F.concat(F.substring("rest", F.lit(1), F.col("before")), F.substring("rest", F.col("before") + F.col("size") + 1, F.length("rest")))
+        deeper = within(rows, often, "key").withColumn("rest", rest).withColumn("n_rest", F.length("rest"))
+        deeper = deeper.select("*", F.explode(_keys(edits, 0, "rest", "n_rest")).alias("k")).filter("k IS NOT NULL AND k.less = less")
+        rows = stored(deeper.select(F.xxhash64("key", "k.key").alias("key"), (F.col("own") & F.col("k.own")).alias("own"), "line", "n", "h1", "h2", "first",
+                                    "rest", "k.before", "k.size", "less"))
+    return reduce(DataFrame.unionByName, [*done, rows])
 
 
 #: Characters after which a pair is looked at again before the rest is compared.
@@ -98,17 +125,19 @@ def common_start(a: Column, b: Column, most: Column) -> Column:
         (at + x <= most) & (F.substring(a, at + 1, x) == F.substring(b, at + 1, x)), at + x).otherwise(at))
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """Pairs of different lines within ``edits`` edits: hashes and first places of the ``later`` and the ``earlier`` one.
 
-    ``docs`` has ``id`` and ``text``. The first pass has one row for each hash and task; a hash of many lines is one row there.
+    ``docs`` has ``id`` and ``text``. The first pass has one row for each hash and task; a hash of many lines is one row there. Lines
+    of a segment that more than ``hot`` have meet only by further segments.
     """
-    rows = _lines(docs, min_chars).select("id", "at", "line", "n", "h1", "h2", F.explode(_keys(edits, min_chars)).alias("k")).select(
-        "id", "at", "line", "n", "h1", "h2", "k.key", "k.own")
+    each = _lines(docs, min_chars).select("id", "at", "line", "n", "h1", "h2", F.explode(_keys(edits, min_chars)).alias("k")).filter("k IS NOT NULL")
+    rows = each.select("id", "at", "line", "n", "h1", "h2", "k.*")
     held = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
     shared = stored(held.filter("low < high AND own").select("key"))
     counts = [F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in COUNTED]
-    members = within(rows, shared, "key").groupBy("key", "own", "line", "n", "h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"))
+    members = within(rows, shared, "key").groupBy("key", "own", "line", "n", "h1", "h2", "before", "size", "less").agg(F.min(F.struct("id", "at")).alias("first"))
+    members = _split_hot(stored(members.withColumn("rest", F.col("line"))), edits, hot).drop("rest", "before", "size", "less")
     members = stored(members.withColumn("c", F.array(*counts)))
     a = members.filter("own").drop("own").withColumnsRenamed({c: f"{c}_a" for c in ("line", "n", "h1", "h2", "first", "c")})
     apart = reduce(Column.__add__, [F.abs(F.get("c", F.lit(i)) - F.get("c_a", F.lit(i))) for i in range(len(COUNTED))])

@@ -72,6 +72,21 @@ def test_lines_joined(spark, joined):
     assert got == {k: w[0] for k, w in brute.dedup_lines(rows, 2, 10).items()}
 
 
+@pytest.mark.parametrize("hot", [2, 10**9])
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_of_frequent_segments(spark, edits, hot):
+    """Every pair, however often the rests of the lines are divided: lines with a start, an end, or both in common."""
+    rng = random.Random(12 + edits)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    made = [word(4).join(ends) for ends in [("2024-01-01 server says ", ""), ("", " and so it ended, they say"), ("the same start ", " the same end")] for _ in range(40)]
+    made += [x[:k] + rng.choice(["", "z", x[k:k + 1] + "q"]) + x[k + 1:] for x in made for k in [rng.randrange(len(x))]]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "id long, text string")
+    first = {x: i for i, x in reversed(list(enumerate(made)))}
+    got = {(r.later.first["id"], r.earlier.first["id"]) for r in lines.near_lines(frame, edits, 10, hot).collect()}
+    want = {(first[x], first[y]) for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= edits and brute.edits(x, y) <= edits}
+    assert got == want and len(want) > 100
+
+
 def test_lines_long_and_repeated(spark):
     rows = [(503, "x" * 30_000), (504, "x" * 30_001 + "\n" + "x" * 30_000)]
     long = {r.doc_id: (r.n_same, r.n_near) for r in lines.dedup_lines(docs(spark, rows)).collect()}
