@@ -32,22 +32,37 @@ def _lines(docs: DataFrame, min_chars: int, shorter: bool = False) -> DataFrame:
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _keys(edits: int, min_chars: int, text: str = "line", n: str = "n") -> Column:
-    """Hashes of segments of ``text`` with ``n`` characters: structs of the hash, whether it is one of the text's own segments, the
-    characters before it, its length and how many characters ``less`` a text has whose own segment it can be; or nulls."""
-    k = edits + 1
-    out = []
+def _cuts(edits: int, n: Column) -> list[tuple[int, int, int, Column, Column]]:
+    """Where segments stand in a text of ``n`` characters: number of the segment, how many characters ``less`` a text has whose own one it can
+    be, how far it is moved from there, the characters before it and its own."""
+    k, out = edits + 1, []
     for less in range(edits + 1):
-        m = F.col(n) - less
         for i in range(1, k + 1):
-            start, stop = F.floor(m * (i - 1) / k).cast("int"), F.floor(m * i / k).cast("int")
-            low, high = max(1 - i, less - (k - i)), min(i - 1, less + (k - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(F.lit(i), m, F.substring(text, start + (1 + shift), stop - start))
-                own = less == 0 and shift == 0
-                entry = F.struct(key.alias("key"), F.lit(own).alias("own"), (start + shift).alias("before"), (stop - start).alias("size"), F.lit(less).alias("less"))
-                out.append(F.when((m >= min_chars) & (start + shift >= 0) & (stop + shift <= F.col(n)), entry))
-    return F.array(*out)
+            start, stop = F.floor((n - less) * (i - 1) / k).cast("int"), F.floor((n - less) * i / k).cast("int")
+            for shift in range(max(1 - i, less - (k - i)), min(i - 1, less + (k - i)) + 1):
+                out.append((i, less, shift, start + shift, stop - start))
+    return out
+
+
+def _keys(edits: int, min_chars: int, n: Column, piece) -> Column:
+    """Hashes of segments: structs of the hash, whether it is one of the text's own segments, and which of ``_cuts`` it is.
+    ``piece`` gives the characters of segment i from a place on."""
+    out = []
+    for which, (i, less, shift, before, size) in enumerate(_cuts(edits, n)):
+        key = F.xxhash64(F.lit(i), n - less, piece(i, before, size))
+        entry = F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own"), F.lit(which).alias("which"))
+        out.append(F.when((n - less >= min_chars) & (before >= 0) & (before + size <= n), entry))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def _with_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """Lines with one row for each key. A line is cut into its parts, with some characters more, once, and segments are taken from these."""
+    n, k = F.col("n"), edits + 1
+    starts = {f"s{i}": F.greatest(F.lit(0), F.floor((n - edits) * (i - 1) / k).cast("int") - edits) for i in range(1, k + 1)}
+    parts = {f"p{i}": F.substring("line", F.col(f"s{i}") + 1, F.floor(n * i / k).cast("int") + edits - F.col(f"s{i}")) for i in range(1, k + 1)}
+    keys = _keys(edits, min_chars, n, lambda i, before, size: F.substring(f"p{i}", before - F.col(f"s{i}") + 1, size))
+    return lines.withColumns(starts).withColumns(parts).select("id", "at", "line", "n", "h1", "h2", F.explode(keys).alias("k")).select(
+        "id", "at", "line", "n", "h1", "h2", "k.*")
 
 
 #: Lines of one segment from which on it is not enough for a pair to be looked at.
@@ -68,11 +83,15 @@ def _split_hot(members: DataFrame, edits: int, hot: int = HOT) -> DataFrame:
         if often.isEmpty():
             break
         done.append(within(rows, often, "key", anti=True))
+        cuts = _cuts(edits, F.length("rest"))
+        less = lambda which: F.get(F.array(*[F.lit(c[1]) for c in cuts]), which)
+        cut = within(rows, often, "key").withColumns({"before": F.get(F.array(*[c[3] for c in cuts]), "which"),
+                                                      "size": F.get(F.array(*[c[4] for c in cuts]), "which"), "less": less("which")})
         rest = F.concat(F.substring("rest", F.lit(1), F.col("before")), F.substring("rest", F.col("before") + F.col("size") + 1, F.length("rest")))
-        deeper = within(rows, often, "key").withColumn("rest", rest).withColumn("n_rest", F.length("rest"))
-        deeper = deeper.select("*", F.explode(_keys(edits, 0, "rest", "n_rest")).alias("k")).filter("k IS NOT NULL AND k.less = less")
+        keys = _keys(edits, 0, F.length("rest"), lambda i, before, size: F.substring("rest", before + 1, size))
+        deeper = cut.withColumn("rest", rest).withColumn("k", F.explode(keys)).filter(less("k.which") == F.col("less"))
         rows = stored(deeper.select(F.xxhash64("key", "k.key").alias("key"), (F.col("own") & F.col("k.own")).alias("own"), "line", "n", "h1", "h2", "first",
-                                    "rest", "k.before", "k.size", "less"))
+                                    "rest", "k.which"))
     return reduce(DataFrame.unionByName, [*done, rows])
 
 
@@ -131,13 +150,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     ``docs`` has ``id`` and ``text``. The first pass has one row for each hash and task; a hash of many lines is one row there. Lines
     of a segment that more than ``hot`` have meet only by further segments.
     """
-    each = _lines(docs, min_chars).select("id", "at", "line", "n", "h1", "h2", F.explode(_keys(edits, min_chars)).alias("k")).filter("k IS NOT NULL")
-    rows = each.select("id", "at", "line", "n", "h1", "h2", "k.*")
+    rows = _with_keys(_lines(docs, min_chars), edits, min_chars)
     held = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
     shared = stored(held.filter("low < high AND own").select("key"))
     counts = [F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in COUNTED]
-    members = within(rows, shared, "key").groupBy("key", "own", "line", "n", "h1", "h2", "before", "size", "less").agg(F.min(F.struct("id", "at")).alias("first"))
-    members = _split_hot(stored(members.withColumn("rest", F.col("line"))), edits, hot).drop("rest", "before", "size", "less")
+    members = within(rows, shared, "key").groupBy("key", "own", "which", "line", "n", "h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"))
+    members = _split_hot(stored(members.withColumn("rest", F.col("line"))), edits, hot).drop("rest", "which")
     members = stored(members.withColumn("c", F.array(*counts)))
     a = members.filter("own").drop("own").withColumnsRenamed({c: f"{c}_a" for c in ("line", "n", "h1", "h2", "first", "c")})
     apart = reduce(Column.__add__, [F.abs(F.get("c", F.lit(i)) - F.get("c_a", F.lit(i))) for i in range(len(COUNTED))])
