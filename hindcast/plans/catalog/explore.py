@@ -347,7 +347,7 @@ def _(e):
 
 @register("replace_children_buckets", ORACLES["replace_children"])
 def _(spark, d):
-    e = stored(en.entries(spark, d))
+    e = stored(en.entries(spark, d).select("race_id", "horse_number", "date", "odds", "finishing_position"))
     pays = en.payoffs(e)
     _, up = history_upcoming(e)
     new = store.load_payoffs(pays, up.select("race_id").distinct()).filter(F.col("bet_type") == S.WIN).withColumn("payout", F.lit("0"))
